@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from .near_duplicates import NearDuplicates
 from .repeated_lines import remove_repeated_lines, repeated_line_places
 from .splitting import split_oversized
 
@@ -28,6 +29,23 @@ def p2_clean_texts(spark: SparkSession, sf: str) -> DataFrame:
     return remove_repeated_lines(table(spark, sf, "crawl_documents"))
 
 
+def _page_duplicates(spark: SparkSession, sf: str) -> NearDuplicates:
+    return NearDuplicates(table(spark, sf, "crawl_documents"), shingle=3, similarity=0.55, min_words=100)
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _page_duplicates(spark, sf).pairs()
+
+
+def p3_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Five-word shingles and a similarity of 0.8: each page's class of equal texts and its number of links."""
+    return NearDuplicates(table(spark, sf, "crawl_documents")).documents()
+
+
+def p3_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return _page_duplicates(spark, sf).groups()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit() and callable(f)}
 
