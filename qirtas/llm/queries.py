@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from .lookalikes import unify_lookalikes
 from .near_duplicates import NearDuplicates
 from .repeated_lines import remove_repeated_lines, repeated_line_places
 from .splitting import split_oversized
@@ -46,6 +47,14 @@ def p3_groups(spark: SparkSession, sf: str) -> DataFrame:
     return _page_duplicates(spark, sf).groups()
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return unify_lookalikes(table(spark, sf, "crawl_documents")).select("id", F.explode("lines").alias("line_no")).distinct()
+
+
+def p4_clean_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return unify_lookalikes(table(spark, sf, "crawl_documents")).select("id", "clean_text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit() and callable(f)}
 
