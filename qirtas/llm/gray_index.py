@@ -13,28 +13,24 @@ import numpy as np
 LEAF, FAN = 16, 4
 
 
-def gray_rank(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Position in the reflected Gray code of each (n, 2) uint64 fingerprint, as (high, low) words."""
-
-    def inverse(x):
-        x = x.copy()
+def gray_rank(bits: np.ndarray) -> list[np.ndarray]:
+    """Position in the reflected Gray code of each (n, words) uint64 fingerprint, as words from the highest on."""
+    ranks, odd = [], np.zeros(len(bits), dtype=bool)
+    for k in range(bits.shape[1]):
+        x = bits[:, k].copy()
         for s in (1, 2, 4, 8, 16, 32):
             x ^= x >> np.uint64(s)
-        return x
-
-    high = inverse(bits[:, 0])
-    odd = (np.bitwise_count(bits[:, 0]) & 1).astype(bool)
-    low = inverse(bits[:, 1])
-    return high, np.where(odd, ~low, low)
+        ranks.append(np.where(odd, ~x, x))
+        odd ^= (np.bitwise_count(bits[:, k]) & 1).astype(bool)
+    return ranks
 
 
 def near_pairs(bits: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """All index pairs (i, j), i before j in Gray order, with a Hamming distance of at most `most`. bits: (n, 2) uint64."""
+    """All index pairs (i, j), i before j in Gray order, with a Hamming distance of at most `most`. bits: (n, words) uint64."""
     n = len(bits)
     if n < 2:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    high, low = gray_rank(bits)
-    order = np.lexsort((low, high))
+    order = np.lexsort(gray_rank(bits)[::-1])
     ranked = bits[order]
     # Levels from the leaves up: [first, last) of each node, its mask and its pattern.
     edges = np.arange(0, n, LEAF)

@@ -19,13 +19,15 @@ from .gray_index import near_pairs
 
 #: A pair with a Jaccard similarity s shares a band with probability 1 - (1 - s^3)^48, that is 0.9998 at 0.55 and 1 - 2e-15 at 0.8.
 BANDS, ROWS = 48, 3
-BITS = 128
+HASHES = BITS = 256
+WORDS = BITS // 64
+FINGER = [f"f{k}" for k in range(WORDS)]
 #: Members of one band that are joined in one task; larger groups are cut into blocks, and each two blocks meet in a task.
 BLOCK = 4096
 
 _rng = np.random.default_rng(20240101)
-_MULT = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
+_MULT = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 _OFFSETS = _STEPS * np.arange(1, 6, dtype=np.uint64)
 
@@ -64,18 +66,17 @@ def shingle_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     return np.unique(_mix(total))
 
 
-def sketch(shingles: np.ndarray) -> tuple[np.ndarray, int, int]:
-    """Band keys and the two words of the fingerprint."""
-    low = np.empty(BANDS * ROWS, dtype=np.uint64)
-    for at in range(0, len(low), 36):
-        low[at : at + 36] = (shingles[None, :] * _MULT[at : at + 36, None] + _ADD[at : at + 36, None]).min(1)
+def sketch(shingles: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Band keys and the words of the fingerprint."""
+    low = np.empty(HASHES, dtype=np.uint64)
+    for at in range(0, len(low), 32):
+        low[at : at + 32] = (shingles[None, :] * _MULT[at : at + 32, None] + _ADD[at : at + 32, None]).min(1)
     hashed = _mix(low)
     keys = np.arange(BANDS, dtype=np.uint64) * _STEPS[4]
     for k in range(ROWS):
-        keys = _mix(keys ^ hashed[k::ROWS])
-    bits = (hashed[:BITS] & np.uint64(1)).astype(np.uint8)
-    f = np.packbits(bits).view(">u8").astype(np.uint64)
-    return keys, int(f[0]), int(f[1])
+        keys = _mix(keys ^ hashed[k : BANDS * ROWS : ROWS])
+    bits = (hashed & np.uint64(1)).astype(np.uint8)
+    return keys, np.packbits(bits).view(">u8").astype(np.uint64).tolist()
 
 
 def _prepare(df: DataFrame, id_col: str, text_col: str, size: int, min_words: int) -> DataFrame:
@@ -85,34 +86,33 @@ def _prepare(df: DataFrame, id_col: str, text_col: str, size: int, min_words: in
         seen: dict[str, int] = {}
 
         def step(batch):
-            out = [[] for _ in range(7)]
+            out = [[] for _ in range(5 + WORDS)]
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = words(text)
                 if len(found) < max(1, min_words):
                     continue
                 sh = shingle_hashes(word_hashes(found, seen), size)
-                keys, f0, f1 = sketch(sh)
+                keys, f = sketch(sh)
                 whole = _mix(sh)
-                values = (i, int(whole.sum(dtype=np.uint64).astype(np.int64)), int(np.bitwise_xor.reduce(whole * _STEPS[0]).astype(np.int64)), np.unique(sh >> np.uint64(32)).astype(np.uint32).view(np.int32), keys.view(np.int64), f0, f1)
+                values = (i, int(whole.sum(dtype=np.uint64).astype(np.int64)), int(np.bitwise_xor.reduce(whole * _STEPS[0]).astype(np.int64)), np.unique(sh >> np.uint64(32)).astype(np.uint32).view(np.int32), keys.view(np.int64), *f)
                 for column, v in zip(out, values):
                     column.append(v)
-            out[5], out[6] = np.array(out[5], dtype=np.uint64).view(np.int64), np.array(out[6], dtype=np.uint64).view(np.int64)
-            return out
+            return out[:5] + [np.array(f, dtype=np.uint64).view(np.int64) for f in out[5:]]
 
         return step
 
-    return map_batches(texts, make, "id bigint, k0 bigint, k1 bigint, shingles array<int>, bands array<bigint>, f0 bigint, f1 bigint")
+    return map_batches(texts, make, "id bigint, k0 bigint, k1 bigint, shingles array<int>, bands array<bigint>, " + ", ".join(f"{f} bigint" for f in FINGER))
 
 
 def _joined(batches, most: int):
-    """Candidate pairs from rows (key, bi, bj, own, id, f0, f1) that come sorted by (key, bi, bj), whole groups to a task."""
+    """Candidate pairs from rows (key, bi, bj, own, id, *FINGER) that come sorted by (key, bi, bj), whole groups to a task."""
 
     def pairs(cols):
-        key, bi, bj, own, ids, f0, f1 = cols
+        key, bi, bj, own, ids, *finger = cols
         change = np.flatnonzero((key[1:] != key[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])) + 1
         start, end = np.r_[0, change], np.r_[change, len(key)]
         size = end - start
-        bits = np.stack([f0, f1], 1).view(np.uint64)
+        bits = np.stack(finger, 1).view(np.uint64)
         out_a, out_b = [], []
         # Small groups at once: members at a distance of d rows, for each d.
         group = np.repeat(np.arange(len(size)), size)
@@ -169,14 +169,14 @@ class NearDuplicates:
         self._links: DataFrame | None = None
 
     def _candidates(self) -> DataFrame:
-        heads = self.store.select("id", "bands", "f0", "f1").join(self.copies, "id", "left_anti")
-        rows = heads.select(F.explode("bands").alias("key"), "id", "f0", "f1")
+        heads = self.store.select("id", "bands", *FINGER).join(self.copies, "id", "left_anti")
+        rows = heads.select(F.explode("bands").alias("key"), "id", *FINGER)
         # As many as rows / block at most; joined by broadcast only where Spark finds the written table small enough.
         hot = materialise(rows.groupBy("key").count().where(F.col("count") > self.block).select("key", F.ceil(F.col("count") / self.block).cast("int").alias("parts")), "hot-bands")
         own = F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int")
         salted = rows.join(hot, "key", "left").withColumn("own", own)
         other = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("other")
-        salted = salted.select("key", "own", other, "id", "f0", "f1").select("key", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "id", "f0", "f1")
+        salted = salted.select("key", "own", other, "id", *FINGER).select("key", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "id", *FINGER)
         ordered = salted.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
         most = self.most
         return ordered.mapInArrow(lambda batches: _joined(batches, most), "a bigint, b bigint").distinct()
