@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .lookalikes import unify_lookalikes
+from .main_body import MainBody, main_body
 from .near_duplicates import NearDuplicates
 from .repeated_lines import remove_repeated_lines, repeated_line_places
 from .splitting import split_oversized
@@ -55,6 +56,14 @@ def p4_clean_texts(spark: SparkSession, sf: str) -> DataFrame:
     return unify_lookalikes(table(spark, sf, "crawl_documents")).select("id", "clean_text")
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return MainBody(table(spark, sf, "crawl_documents")).line_numbers()
+
+
+def p5_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    return main_body(table(spark, sf, "crawl_documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit() and callable(f)}
 
