@@ -13,6 +13,7 @@ from .main_body import MainBody, main_body
 from .near_duplicates import NearDuplicates
 from .repeated_lines import remove_repeated_lines, repeated_line_places
 from .splitting import split_oversized
+from .template_residue import template_residue
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -64,6 +65,14 @@ def p5_bodies(spark: SparkSession, sf: str) -> DataFrame:
     return main_body(table(spark, sf, "crawl_documents"))
 
 
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return template_residue(table(spark, sf, "crawl_documents")).select("id").distinct()
+
+
+def p7_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    return template_residue(table(spark, sf, "crawl_documents")).groupBy("reason").agg(F.count("*").alias("pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit() and callable(f)}
 
