@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..session import table
 from .lookalikes import unify_lookalikes
 from .main_body import MainBody, main_body
+from .markup import clean_markup
 from .near_duplicates import NearDuplicates
 from .repeated_lines import remove_repeated_lines, repeated_line_places
 from .splitting import split_oversized
@@ -73,6 +74,14 @@ def p7_reasons(spark: SparkSession, sf: str) -> DataFrame:
     return template_residue(table(spark, sf, "crawl_documents")).groupBy("reason").agg(F.count("*").alias("pages"))
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return clean_markup(table(spark, sf, "crawl_documents")).select("id", F.explode("markup").alias("markup")).distinct()
+
+
+def p6_clean_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return clean_markup(table(spark, sf, "crawl_documents")).select("id", "clean_text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit() and callable(f)}
 
