@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from .language import identify_languages, mislabelled
 from .lookalikes import unify_lookalikes
 from .main_body import MainBody, main_body
 from .markup import clean_markup
@@ -82,6 +83,14 @@ def p6_clean_texts(spark: SparkSession, sf: str) -> DataFrame:
     return clean_markup(table(spark, sf, "crawl_documents")).select("id", "clean_text")
 
 
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return mislabelled(identify_languages(table(spark, sf, "documents")))
+
+
+def p10_segments(spark: SparkSession, sf: str) -> DataFrame:
+    return identify_languages(table(spark, sf, "documents")).select("doc_id", "lang", "confidence", F.explode("segments").alias("segment")).select("doc_id", "lang", "confidence", F.col("segment.no").alias("paragraph"), F.col("segment.lang").alias("paragraph_lang"), F.col("segment.confidence").alias("paragraph_confidence"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit() and callable(f)}
 
