@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +29,22 @@ def get_spark(app: str = "qirtas", master: str | None = None, **conf: str) -> Sp
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers once a session, so that they need no path to it."""
+    context = spark.sparkContext
+    if getattr(context, "_qirtas_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="qirtas-code-")) / "qirtas_code.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as target:
+        for path in sorted(root.rglob("*.py")):
+            target.write(path, path.relative_to(root.parent))
+    path = list(sys.path)
+    context.addPyFile(str(archive))
+    sys.path[:] = path  # the driver keeps its own copy
+    context._qirtas_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from `spark.checkpoint.dir`; a local one is set only where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -52,4 +71,5 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data folder."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
