@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..session import ship
+
 #: Marks that only vocalise a text, and characters without a shape of their own.
 VOWEL_MARKS = "\u064b-\u0652\u0670"
 INVISIBLE = "\u00ad\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufeff"
@@ -40,6 +42,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable], ddl: str, rows: int
 
     Batches are cut to `rows` rows, so that very long texts never fill a worker's memory.
     """
+    ship(df.sparkSession)
     schema = schema_of(ddl)
     target = to_arrow_schema(schema)
 
