@@ -13,6 +13,7 @@ from .leakage import Leakage, collect_items
 from .lookalikes import unify_lookalikes
 from .main_body import MainBody, main_body
 from .markup import clean_markup
+from .mixing import Mix, count_tokens
 from .near_duplicates import NearDuplicates
 from .repeated_lines import remove_repeated_lines, repeated_line_places
 from .splitting import split_oversized
@@ -84,6 +85,24 @@ def p6_clean_texts(spark: SparkSession, sf: str) -> DataFrame:
     return clean_markup(table(spark, sf, "crawl_documents")).select("id", "clean_text")
 
 
+def _mix(spark: SparkSession, sf: str) -> Mix:
+    return Mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
+
+
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each record occurs in the mix."""
+    return _mix(spark, sf).copies()
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Achieved beside target shares of each source."""
+    return _mix(spark, sf).shares()
+
+
+def p9_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    return count_tokens(table(spark, sf, "documents"))
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return mislabelled(identify_languages(table(spark, sf, "documents")))
 
