@@ -142,16 +142,27 @@ def _word(word: str, persian: bool) -> str:
     return word
 
 
+def _plain(line: str, persian: bool = False) -> str:
+    """The line by the rules that always hold. What one rule gives may meet the next accent, so it ends when nothing changes."""
+    while True:
+        keep = _emoji_joiners(line)
+        if persian:  # a non-joiner inside a Persian word is spelling
+            keep |= {i for i, c in enumerate(line) if c == "\u200c" and 0 < i < len(line) - 1 and line[i - 1].isalpha() and line[i + 1].isalpha()}
+        new = PLAIN.apply(line, keep)
+        if new == line:
+            return line
+        line = new
+
+
 def clean_line(line: str) -> str:
     """The line in its consistent form; the same object if nothing stands for anything else."""
     if not _SUSPECT.search(line):
         return line
-    plain = PLAIN.apply(line, _emoji_joiners(line))
-    found = _TOKEN.findall(plain)
-    persian = _is_persian(found)
-    if persian and "\u200c" in line:  # a non-joiner inside a Persian word is spelling
-        plain = PLAIN.apply(line, _emoji_joiners(line) | {i for i, c in enumerate(line) if c == "\u200c" and 0 < i < len(line) - 1 and line[i - 1].isalpha() and line[i + 1].isalpha()})
-    out = _TOKEN.sub(lambda m: _word(m[0], persian), plain)
+    plain = _plain(line)
+    persian = _is_persian(_TOKEN.findall(plain))
+    if persian and "\u200c" in line:
+        plain = _plain(line, True)
+    out = _plain(_TOKEN.sub(lambda m: _word(m[0], persian), plain), persian)
     return line if out == line else out
 
 

@@ -47,8 +47,8 @@ _SCAN = re.compile(
   | (?P<wiki_table>^[ ]*(?:\{\|.*|\|\}|\|-+[ ]*)$)
   | (?P<wiki_switch>__[A-Z]{3,}__)
   | (?P<latex_verbatim>\\begin\{(?:verbatim|lstlisting)\}.*?\\end\{(?:verbatim|lstlisting)\})
-  | (?P<latex_display>\\\[[^\n]*?\\\]|\$\$[^$\n]+\$\$|\\\([^\n]*?\\\))
-  | (?P<latex_math>(?<![\\$\w])\$(?=[^\s$\d])[^$\n]*(?:\\[a-zA-Z]+|[_^]\{?)[^$\n]*\$(?!\d))
+  | (?P<latex_display>\\\[[^\n]{0,2000}?\\\]|\$\$[^$\n]+\$\$|\\\([^\n]{0,2000}?\\\))
+  | (?P<latex_math>(?<![\\$\w])\$(?=[^\s$\d])[^$\n\\_^]{0,200}(?:\\[a-zA-Z]+|[_^]\{?)[^$\n]{0,500}\$(?!\d))
   | (?P<latex_environment>\\(?:begin|end)\{[a-zA-Z*]+\}(?:\{[^{}\n]*\}|\[[^\]\n]*\])*)
   | (?P<latex_section>\\(?:part|chapter|(?:sub){0,2}section|paragraph)\*?\{[^{}\n]*\})
   | (?P<latex_item>\\item(?:\[[^\]\n]*\])?[ ]*)
@@ -98,8 +98,6 @@ def _cost(kind: str, m: re.Match, text: str) -> float:
         return w if any(c in found for c in "*#") else -0.3
     if kind == "wiki_heading":
         return w if re.search(r"[^\W\d_]", found) else -1.0
-    if kind == "latex_environment":
-        return w
     return w
 
 
@@ -194,11 +192,18 @@ def clean_text(text: str) -> tuple[str, list[str]]:
         return text, []
     out, at = [], 0
     for start, end, kind in found:
-        between = text[at:start]
-        out.append(between)
-        line_start = not "".join(out[-2:]).rpartition("\n")[2].strip()
-        out.append(_convert(kind, text[start:end], line_start))
+        out.append(text[at:start])
+        line_start = not text[text.rfind("\n", 0, start) + 1 : start].strip() or "".join(out[-3:]).endswith("\n")
+        new = _convert(kind, text[start:end], line_start)
+        if kind == "markdown_setext":  # the line above is the heading
+            joined = "".join(out).rstrip("\n")
+            head = joined.rfind("\n") + 1
+            out = [joined[:head], "# " if "=" in text[start:end] else "## ", joined[head:], "\n"]
+        else:
+            out.append(new)
         at = end
+        if not new and line_start and text[end : end + 1] == "\n" and kind not in ("html_tag", "html_entity"):
+            at += 1  # nothing is left of the line
     out.append(text[at:])
     clean = "".join(out)
     if any(k.startswith("latex") for _, _, k in found):

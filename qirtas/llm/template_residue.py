@@ -46,7 +46,18 @@ you need to please must enable allow turn on switch run activate this site page
 without cannot continue be displayed content loading if it takes long blocker off disable stop a while loads will not load after before complete depends
 """
 # Syllables of Latin filler.
-LATIN_FILLER = re.compile("(?:adipiscing|consectetur|dolor|lorem|ipsum|amet|elit|sed|lor|rem|ip|sum|do|am|et|sit|con|sec|te|tur|ad|pis|ci|eiu|smod|tem|por|in|ut|la|bo|re|mag|na|al|qui|nos|mco|ul|ve|ni|nia|lo|no|li|au|um)+")
+SYLLABLES = frozenset("adipiscing consectetur dolor lorem ipsum amet elit sed lor rem ip sum do am et sit con sec te tur ad pis ci eiu smod tem por in ut la bo re mag na al qui nos mco ul ve ni nia lo no li au um".split())
+_LONGEST = max(map(len, SYLLABLES))
+
+
+def latin_filler(word: str) -> bool:
+    """True if the word is made of the syllables of Latin filler."""
+    reached = {0}
+    for end in range(1, len(word) + 1):
+        if any(end - n in reached and word[end - n : end] in SYLLABLES for n in range(2, min(_LONGEST, end) + 1)):
+            reached.add(end)
+    return len(word) in reached
+
 
 _FIELD = re.compile(
     r"\{\{\s*[\w.]+\s*\}\}|[$#]\{\s*[\w.]+\s*\}|\[\[%\s*\w+\s*%\]\]|%[A-Za-z]+_[A-Za-z_]+%|%[A-Z]{3,}%|@@\w+@@|<%=?[^%>]*%>"
@@ -79,7 +90,7 @@ def line_evidence(line: str) -> str | None:
             return kind
     if len(found) <= 24 and not _SCRIPT.isdisjoint(found) and sum(w in _NOTICE for w in found) >= 0.9 * len(found):
         return "script"
-    if len(found) >= 4 and sum(bool(LATIN_FILLER.fullmatch(w)) for w in found) >= 0.85 * len(found):
+    if len(found) >= 4 and text.isascii() and sum(map(latin_filler, found)) >= 0.85 * len(found):
         return "filler"
     return None
 
