@@ -78,7 +78,7 @@ def sitemap_children(sitemaps: DataFrame) -> DataFrame:
 
 def read_folder(spark: SparkSession, path: str, pattern: str = "*.{txt,html,md,json}") -> DataFrame:
     """(path, text) of each text file of a folder, in an order that doesn't depend on the run."""
-    return spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text")).orderBy(F.xxhash64("path", F.lit(42)))
+    return spark.read.text(path, wholetext=True, pathGlobFilter=pattern).select(F.input_file_name().alias("path"), F.col("value").alias("text")).orderBy(F.xxhash64("path", F.lit(42)))
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
