@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import NO_TITLE, occurrences, title, tokenize
+from ..functions.text import NO_TITLE, title, tokenize
 from .index import Index
+from .retrieval import substring_counts
 
 
 def phrase_hits(docs: DataFrame, phrases: DataFrame) -> DataFrame:
@@ -16,9 +17,8 @@ def phrase_hits(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     The phrases are a stated set: each text is scanned once for all of them.
     """
     stated = [r[0] for r in phrases.where("phrase <> ''").select(F.lower("phrase").alias("phrase")).distinct().orderBy("phrase").collect()]
-    text = F.lower("content_text")
-    hits = F.filter(F.transform(F.array(*map(F.lit, stated)) if stated else F.array().cast("array<string>"), lambda w: F.struct(w.alias("phrase"), occurrences(text, w).alias("n"))), lambda h: h["n"] > 0)
-    return docs.select(F.col("id").alias("doc_id"), F.explode(hits).alias("hit")).select("hit.phrase", "doc_id", "hit.n")
+    found = substring_counts(docs.select(F.col("id").alias("doc_id"), F.col("content_text").alias("content")), stated)
+    return found.withColumnRenamed("word", "phrase")
 
 
 def phrase_search(docs: DataFrame, phrases: DataFrame, most: int = 10) -> DataFrame:

@@ -26,6 +26,17 @@ def ranked(scores: DataFrame, k: int | None = None, extra: tuple[str, ...] = ())
     return (out.where(F.col("rank") <= k) if k else out).select("query_id", "doc_id", "score", "rank", *extra)
 
 
+def substring_counts(texts: DataFrame, words: list[str]) -> DataFrame:
+    """(doc_id, word, n) of the words that each lower-case text (doc_id, content) holds as a substring, n times.
+
+    A cheap test for each word comes first; only words that are there are counted, in generated code.
+    """
+    stated = F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
+    low = texts.select("doc_id", F.lower("content").alias("low"))
+    hits = low.select("doc_id", "low", F.explode(F.filter(stated, lambda w: F.contains(F.col("low"), w))).alias("word"))
+    return hits.select("doc_id", "word", occurrences(F.col("low"), F.col("word")).alias("n"))
+
+
 def keyword_scores(queries: DataFrame, index: Index) -> DataFrame:
     """Occurrences of each word of (query_id, query) as substrings of the lower-case text; words count as often as repeated.
 
@@ -33,11 +44,9 @@ def keyword_scores(queries: DataFrame, index: Index) -> DataFrame:
     """
     words = queries.select("query_id", F.explode(split_simple(F.col("query"))).alias("word")).groupBy("query_id", "word").agg(F.count("*").alias("times"))
     vocabulary = [r[0] for r in words.select("word").distinct().orderBy("word").collect()]
-    text = F.lower("content")
-    hits = F.filter(F.transform(F.array(*map(F.lit, vocabulary)) if vocabulary else F.array().cast("array<string>"), lambda w: F.struct(w.alias("word"), occurrences(text, w).alias("n"))), lambda h: h["n"] > 0)
-    found = index.documents.select(F.col("id").alias("doc_id"), F.explode(hits).alias("hit")).select("doc_id", "hit.word", "hit.n")
+    held = substring_counts(index.documents.select(F.col("id").alias("doc_id"), "content"), vocabulary)
     score = F.sum(F.col("n") * F.col("times")).cast("double")
-    return found.join(words, "word").groupBy("query_id", "doc_id").agg(score.alias("score")).where("score > 0")
+    return held.join(words, "word").groupBy("query_id", "doc_id").agg(score.alias("score")).where("score > 0")
 
 
 def bm25_scores(queries: DataFrame, index: Index, k1: float = 1.5, b: float = 0.75, script: str = "arabic") -> DataFrame:

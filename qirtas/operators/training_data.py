@@ -19,7 +19,7 @@ def export_texts(docs: DataFrame) -> DataFrame:
 def write_texts(docs: DataFrame, path: str) -> None:
     """One folder an id, with the text in it; the writing is distributed."""
     rows = successful(docs).select("id", F.concat(F.lit("Source URL: "), "url", F.lit("\n\n"), "content_text").alias("value"))
-    rows.write.mode("overwrite").option("lineSep", "").partitionBy("id").text(path)
+    rows.write.mode("overwrite").partitionBy("id").text(path)
 
 
 def long_enough(docs: DataFrame, least: int, text_col: str = "content_text") -> DataFrame:

@@ -116,7 +116,7 @@ def test_folders_and_samples(spark, tmp_path, docs):
     (tmp_path / "b.bin").write_text("z")
     assert [r["text"] for r in src.read_folder(spark, str(tmp_path)).collect()] == ["x\ny"]
     td.write_texts(docs, str(tmp_path / "out"))
-    assert sorted(r["text"] for r in spark.read.text(str(tmp_path / "out"), wholetext=True).selectExpr("value text").collect()) == ["Source URL: a\n\nt1", "Source URL: d\n\nt4"]
+    assert sorted(r["text"] for r in spark.read.text(str(tmp_path / "out"), wholetext=True).selectExpr("value text").collect()) == ["Source URL: a\n\nt1\n", "Source URL: d\n\nt4\n"]
     assert [r["filename"] for r in td.export_texts(docs).orderBy("filename").collect()] == ["doc_1.txt", "doc_4.txt"]
 
 
