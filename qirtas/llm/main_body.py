@@ -20,11 +20,14 @@ from pyspark.sql import functions as F
 from ..session import materialise
 from .common import map_batches
 from .lookalikes import clean_line
+from .template_residue import line_evidence
 
 #: Blocks in a window, and the words a window must hold for a surge.
 WINDOW, SURGE = 3, 8
 #: A line counts as furniture of other pages from so many pages on, and with such a share of all pages that show it.
 MIN_PAGES, MIN_FURNITURE = 2, 0.8
+#: The same for the first two words of a line, which decide where nothing is known of the whole line.
+MIN_OPENINGS, MIN_OPENING_SHARE = 20, 0.95
 
 _TAG = re.compile(r"<!--.*?-->|<(script|style|template)\b.*?</\1\s*>|<(/?)([a-zA-Z][a-zA-Z0-9]*)([^<>]*)>", re.S | re.I)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*[\"']?([^\"'>]*)", re.I)
@@ -52,6 +55,12 @@ def line_key(text: str) -> int:
     return key_of(letters_of(text))
 
 
+def opening_key(text: str) -> int:
+    """Identifier of the first two words of a line of 3 to 24 words; 0 for other lines."""
+    found = text.split()
+    return key_of("^" + letters_of(" ".join(found[:2]))) if 3 <= len(found) <= 24 else 0
+
+
 def raw_blocks(raw: str) -> list[tuple[str, bool, bool, int]]:
     """(text, in a furniture element, heading, element) of each text block; element numbers tell the enclosing elements."""
     blocks, stack, text, pos, serial = [], [], [], 0, 0
@@ -95,8 +104,9 @@ def windows(lengths: np.ndarray, size: int = WINDOW) -> np.ndarray:
     return total[np.minimum(at + size // 2 + 1, len(lengths))] - total[np.maximum(at - size // 2, 0)]
 
 
-def body_of_markup(raw: str) -> tuple[set[int], set[int], str, str]:
-    """Keys of body lines and of furniture lines of a page's markup, and the letters of its whole body and furniture."""
+def body_of_markup(raw: str) -> tuple[set[int], set[int], str, str, set[int], set[int]]:
+    """Keys of body lines and of furniture lines of a page's markup, the letters of its whole body and furniture, and the
+    keys of the openings of body and furniture lines."""
     blocks = raw_blocks(raw)
     heading = next((b for b in blocks if b[2] and not b[1]), None)
     inside = heading[3][-2] if heading and len(heading[3]) > 1 else None
@@ -107,7 +117,12 @@ def body_of_markup(raw: str) -> tuple[set[int], set[int], str, str]:
             lengths[k] = len(text.split()) + (SURGE if is_heading else 0)
     loud = np.flatnonzero((windows(lengths) >= SURGE) & (lengths > 0))
     surge, dive = (loud[0], loud[-1]) if len(loud) else (0, len(blocks) - 1)
-    body, furniture, in_body, in_furniture = set(), set(), [], []
+    # A short block next to the body, with nothing silent between, belongs to it.
+    while surge > 0 and lengths[surge - 1] > 0:
+        surge -= 1
+    while dive + 1 < len(blocks) and lengths[dive + 1] > 0:
+        dive += 1
+    body, furniture, in_body, in_furniture, opens_body, opens_furniture = set(), set(), [], [], set(), set()
     for k, (text, _, _, path) in enumerate(blocks):
         parts = text.split("\n")
         whole = letters_of(text)
@@ -116,30 +131,34 @@ def body_of_markup(raw: str) -> tuple[set[int], set[int], str, str]:
             if len(parts) > 1:
                 body.update(line_key(p) for p in parts)
             in_body.append(whole)
+            opens_body.update(map(opening_key, parts))
         else:
             furniture.add(key_of(whole))
             pieces = {p for line in parts for p in re.split(r"[·|]", line)} | set(parts)
             if len(pieces) > 1:
                 furniture.update(line_key(p) for p in pieces)
             in_furniture.append(whole)
+            opens_furniture.update(map(opening_key, pieces))
     title = re.search(r"<title[^>]*>(.*?)</title>", raw, re.S | re.I)
     if title:
         body.add(line_key(html.unescape(title[1])))
-    body.discard(0), furniture.discard(0)
-    return body, furniture - body, "\n".join(in_body), "\n".join(in_furniture)
+    for keys in (body, furniture, opens_body, opens_furniture):
+        keys.discard(0)
+    return body, furniture - body, "\n".join(in_body), "\n".join(in_furniture), opens_body, opens_furniture
 
 
 BODY, FURNITURE, UNKNOWN, EMPTY = 1, 2, 0, 3
 
 
-def own_classes(text: str, raw: str | None) -> tuple[list[int], list[int], list[int], list[int], list[int]]:
-    """(keys, words, class) of each line of the text by the page's own markup; keys of the markup's furniture and body."""
-    body, furniture, in_body, in_furniture = body_of_markup(raw) if raw else (set(), set(), "", "")
-    keys, sizes, kinds = [], [], []
+def own_classes(text: str, raw: str | None) -> tuple[list[int], list[int], list[int], list[int], list[int], list[int], list[int], list[int]]:
+    """(keys, words, class, opening) of each line of the text by the page's own markup; keys of the markup's furniture and
+    body, and of their openings. Only lines of an unknown class have an opening other than 0."""
+    body, furniture, in_body, in_furniture, opens_body, opens_furniture = body_of_markup(raw) if raw else (set(), set(), "", "", set(), set())
+    keys, sizes, kinds, openings = [], [], [], []
     crumb = ""
     for line in text.split("\n"):
         if not line.strip():
-            keys.append(0), sizes.append(0), kinds.append(EMPTY)
+            keys.append(0), sizes.append(0), kinds.append(EMPTY), openings.append(0)
             continue
         letters, bare = letters_of(line), line
         key = key_of(letters)
@@ -161,17 +180,20 @@ def own_classes(text: str, raw: str | None) -> tuple[list[int], list[int], list[
                 kind = BODY
             elif not key or _MARKED.match(line):
                 kind = BODY
+        if kind != BODY and len(bare) < 400 and line_evidence(clean_line(bare)):
+            kind = BODY  # a message or filler in place of content is the body of its page
         # A line of a list, a table or with digits and punctuation isn't an entry of a side box.
         size = len(bare.split())
         if kind == UNKNOWN and (size > 9 or re.search(r"[.:؟?!=]|\d", bare)):
             size = max(size, SURGE)
-        keys.append(key), sizes.append(min(size, 2000)), kinds.append(kind)
-    return keys, sizes, kinds, sorted(furniture), sorted(body)
+        keys.append(key), sizes.append(min(size, 2000)), kinds.append(kind), openings.append(opening_key(bare) if kind == UNKNOWN else 0)
+    return keys, sizes, kinds, openings, sorted(furniture), sorted(body), sorted(opens_furniture), sorted(opens_body)
 
 
-def furniture_lines(keys: list[int], sizes: list[int], kinds: list[int], known: dict[int, bool]) -> list[int]:
-    """Numbers of the lines that are not main body. known: what other pages say, True for furniture."""
-    kinds = [FURNITURE if k == UNKNOWN and known.get(key) is True else BODY if k == UNKNOWN and known.get(key) is False else k for k, key in zip(kinds, keys)]
+def furniture_lines(keys: list[int], sizes: list[int], kinds: list[int], openings: list[int], known: dict[int, bool]) -> list[int]:
+    """Numbers of the lines that are not main body. known: what other pages say of a line or opening, True for furniture."""
+    said = [known.get(key, known.get(opening)) if k == UNKNOWN else None for k, key, opening in zip(kinds, keys, openings)]
+    kinds = [k if x is None else FURNITURE if x else BODY for k, x in zip(kinds, said)]
     shown = [i for i, k in enumerate(kinds) if k != EMPTY]
     lengths = np.array([0 if kinds[i] == FURNITURE else sizes[i] + (SURGE if kinds[i] == BODY else 0) for i in shown], dtype=np.int64)
     out = {i for i in shown if kinds[i] == FURNITURE}
@@ -207,27 +229,31 @@ class MainBody:
         def make():
             def step(batch):
                 rows = [own_classes(t, r) for r, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-                return [batch.column(0), *([r[k] for r in rows] for k in range(5))] if rows else None
+                return [batch.column(0), *([r[k] for r in rows] for k in range(8))] if rows else None
 
             return step
 
-        self.pages = materialise(map_batches(pages, make, f"id {self.id_type}, keys array<bigint>, sizes array<int>, kinds array<int>, furniture array<bigint>, body array<bigint>", rows=500), "page-lines")
+        self.pages = materialise(map_batches(pages, make, f"id {self.id_type}, keys array<bigint>, sizes array<int>, kinds array<int>, openings array<bigint>, furniture array<bigint>, body array<bigint>, opens_furniture array<bigint>, opens_body array<bigint>", rows=500), "page-lines")
 
     def line_numbers(self) -> DataFrame:
         """(id, line_no) of every non-empty line that is not main body."""
-        shows = self.pages.select(F.explode("furniture").alias("key"), F.lit(1).alias("f"), F.lit(0).alias("b")).unionByName(self.pages.select(F.explode("body").alias("key"), F.lit(0).alias("f"), F.lit(1).alias("b")))
-        seen = shows.groupBy("key").agg(F.sum("f").alias("f"), F.sum("b").alias("b"))
-        open_lines = F.filter(F.arrays_zip("keys", "kinds"), lambda x: x["kinds"] == UNKNOWN)
-        asked = self.pages.select("id", F.explode(F.array_distinct(F.transform(open_lines, lambda x: x["keys"]))).alias("key"))
-        said = seen.select("key", F.when((F.col("f") >= MIN_PAGES) & (F.col("f") >= MIN_FURNITURE * (F.col("f") + F.col("b"))), True).when(F.col("b") > 0, False).alias("is_furniture")).where("is_furniture is not null")
+        shows = [self.pages.select(F.explode(c).alias("key"), F.lit(f).alias("f"), F.lit(1 - f).alias("b"), F.lit(o).alias("opening")) for c, f, o in (("furniture", 1, False), ("body", 0, False), ("opens_furniture", 1, True), ("opens_body", 0, True))]
+        seen = shows[0].unionByName(shows[1]).unionByName(shows[2]).unionByName(shows[3]).groupBy("key", "opening").agg(F.sum("f").alias("f"), F.sum("b").alias("b"))
+        n, o = F.col("f") + F.col("b"), F.col("opening")
+        yes = F.when(o, (F.col("f") >= MIN_OPENINGS) & (F.col("f") >= MIN_OPENING_SHARE * n)).otherwise((F.col("f") >= MIN_PAGES) & (F.col("f") >= MIN_FURNITURE * n))
+        no = F.when(o, (F.col("b") >= MIN_OPENINGS) & (F.col("b") >= MIN_OPENING_SHARE * n)).otherwise(F.col("b") > 0)
+        said = seen.select("key", F.when(yes, True).when(no, False).alias("is_furniture")).where("is_furniture is not null")
+        unknown = F.filter(F.arrays_zip("keys", "kinds", "openings"), lambda x: x["kinds"] == UNKNOWN)
+        wanted = F.array_distinct(F.concat(F.transform(unknown, lambda x: x["keys"]), F.transform(unknown, lambda x: x["openings"])))
+        asked = self.pages.select("id", F.explode(F.filter(wanted, lambda x: x != 0)).alias("key"))
         answers = asked.join(said, "key").groupBy("id").agg(F.collect_list("key").alias("known"), F.collect_list("is_furniture").alias("says"))
-        ready = self.pages.select("id", "keys", "sizes", "kinds").join(answers, "id", "left")
+        ready = self.pages.select("id", "keys", "sizes", "kinds", "openings").join(answers, "id", "left")
 
         def make():
             def step(batch):
                 ids, numbers = [], []
-                for i, keys, sizes, kinds, known, says in zip(*(c.to_pylist() for c in batch.columns)):
-                    found = furniture_lines(keys, sizes, kinds, dict(zip(known, says)) if known else {})
+                for i, keys, sizes, kinds, openings, known, says in zip(*(c.to_pylist() for c in batch.columns)):
+                    found = furniture_lines(keys, sizes, kinds, openings, dict(zip(known, says)) if known else {})
                     ids += [i] * len(found)
                     numbers += found
                 return ids, numbers

@@ -98,14 +98,14 @@ PAGE = """<html><head><title>Permit</title></head><body><nav><ul><li>Home</li><l
 
 def test_body_and_furniture_of_a_page():
     text = "Home\nNews\nPermit\nThe permit of the market is given after ten days by the office of the town.\n\nCopyright 99 the office.\nbring the form\nFollow us"
-    keys, sizes, kinds, _, _ = main_body.own_classes(text, PAGE)
-    assert main_body.furniture_lines(keys, sizes, kinds, {}) == [1, 2, 6, 8]
+    own = main_body.own_classes(text, PAGE)
+    assert main_body.furniture_lines(*own[:4], {}) == [1, 2, 6, 8]
 
 
 def test_a_page_without_markup_asks_the_others():
     text = "Permit\nThe permit of the market is given after ten days by the office of the town.\nFollow us"
-    keys, sizes, kinds, _, _ = main_body.own_classes(text, None)
-    assert main_body.furniture_lines(keys, sizes, kinds, {main_body.line_key("follow us!"): True}) == [3]
+    own = main_body.own_classes(text, None)
+    assert main_body.furniture_lines(*own[:4], {main_body.line_key("follow us!"): True}) == [3]
     for raw in ("", "<", "<p", "no markup", "<html></html>"):
         main_body.own_classes(text, raw)
 
