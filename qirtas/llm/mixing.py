@@ -101,11 +101,12 @@ class Mix:
         t = F.col("tokens").cast("double")
         sizes = self.counted.where("source is not null").groupBy("source").agg(F.count("*").alias("records"), F.sum("tokens").alias("available"), F.sum(t * t).alias("squares"))
         known = sizes.join(wanted, "source", "full").select("source", F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("available", F.lit(0)).alias("available"), F.coalesce("squares", F.lit(0.0)).alias("squares"), F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("max_repeats", F.lit(0)).alias("max_repeats"))
-        # One row a source: written once, so that every later join knows its size.
-        total = F.lit(total_tokens) if total_tokens else F.sum(F.when(F.col("target_share") > 0, F.col("available")).otherwise(0)).over(Window.partitionBy(F.lit(1)))
-        need = known.withColumn("wanted_total", total).withColumn("needed", F.col("target_share") * F.col("wanted_total"))
+        whole_corpus = known.agg(F.coalesce(F.sum(F.when(F.col("target_share") > 0, F.col("available"))), F.lit(0)).alias("wanted_total"))
+        total = known.join(F.broadcast(whole_corpus)) if total_tokens is None else known.withColumn("wanted_total", F.lit(total_tokens).cast("long"))  # one row
+        need = total.withColumn("needed", F.col("target_share") * F.col("wanted_total"))
         whole = F.when(F.col("available") > 0, F.least(F.floor(F.col("needed") / F.col("available")), F.col("max_repeats"))).otherwise(0).cast("int")
         rest = F.when((F.col("whole") < F.col("max_repeats")) & (F.col("available") > 0), F.col("needed") - F.col("whole") * F.col("available")).otherwise(0.0)
+        # One row a source, written once, so that every later join knows its size.
         self.plan = materialise(need.withColumn("whole", whole).withColumn("rest", rest), "mix-plan")
 
     def copies(self) -> DataFrame:
@@ -141,8 +142,9 @@ class Mix:
         """
         took = self.copies().groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("taken"), F.max("copies").alias("most_copies"), F.count("*").alias("records_taken"))
         rows = self.plan.join(took, "source", "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
-        everything = F.sum("taken").over(Window.partitionBy(F.lit(1)))
-        return rows.select(
+        mixed = took.agg(F.coalesce(F.sum("taken"), F.lit(0)).alias("everything"))
+        everything = F.col("everything")
+        return rows.join(F.broadcast(mixed)).select(  # one row
             "source", F.round("target_share", 6).alias("target_share"), F.round(F.when(everything > 0, F.col("taken") / everything).otherwise(0.0), 6).alias("achieved_share"), F.round(F.when(F.col("wanted_total") > 0, F.col("taken") / F.col("wanted_total")).otherwise(0.0), 6).alias("share_of_wanted_total"), "max_repeats",
             F.coalesce("most_copies", F.lit(0)).alias("most_copies"), "records", F.coalesce("records_taken", F.lit(0)).alias("records_taken"), F.col("available").alias("tokens_available"), F.round("needed").cast("long").alias("tokens_wanted"), F.col("taken").alias("tokens_taken"),
             F.greatest(F.round(F.col("needed") - F.col("taken")).cast("long"), F.lit(0)).alias("shortfall"), F.lit(self.tokenizer).alias("tokenizer"),
