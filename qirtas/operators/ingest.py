@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import materialise
+
 #: Fixed value: the link with which the body of a service page begins.
 MARKER = "[الخدمات](/ar/services)"
 DROPPED = frozenset(("script", "style", "nav", "footer", "header", "iframe", "noscript"))
@@ -166,6 +168,18 @@ def parse_pages(pages: DataFrame, parse: Callable[[str | None], str | None] = ht
     return pages.withColumn("content_text", F.pandas_udf(run, "string")(F.col(html_col)))
 
 
+def numbered(rows: DataFrame, column: str) -> DataFrame:
+    """(column, no): numbers from 1 in order of a unique column, without a sort of all rows in one task.
+
+    Range partitions are written once; each is numbered by itself and shifted by the size of those before it.
+    """
+    parts = materialise(rows.select(column).repartitionByRange(column).withColumn("part", F.spark_partition_id()), "ordered")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = parts.groupBy("part").agg(F.count("*").alias("n")).withColumn("shift", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    own = F.row_number().over(Window.partitionBy("part").orderBy(column))
+    return parts.join(F.broadcast(shifts), "part").select(column, (F.col("shift") + own).alias("no"))  # one row a partition
+
+
 def upsert(docs: DataFrame, fetched: DataFrame, now: datetime) -> DataFrame:
     """The whole new document table after fetches (url, content_raw, content_text, crawl_status, http_status, error_message).
 
@@ -180,8 +194,7 @@ def upsert(docs: DataFrame, fetched: DataFrame, now: datetime) -> DataFrame:
     got, ok = F.col("fetched").isNotNull(), F.col("new_crawl_status") == "success"
     time = F.lit(now).cast("timestamp")
     top = docs.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    # New rows alone are numbered; they are those of one crawl.
-    fresh = news.join(docs.select("url"), "url", "left_anti").select("url", F.row_number().over(Window.orderBy("url")).alias("new_no")).join(F.broadcast(top)).select("url", (F.col("top") + F.col("new_no")).alias("new_id"))
+    fresh = numbered(news.join(docs.select("url"), "url", "left_anti"), "url").join(F.broadcast(top)).select("url", (F.col("top") + F.col("no")).alias("new_id"))
     out = both.join(fresh, "url", "left")
     pick = lambda c: F.when(got, F.col(f"new_{c}")).otherwise(F.col(c))
     return out.select(

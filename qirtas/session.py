@@ -61,11 +61,25 @@ def shared_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
+_written: dict[str, list[str]] = {}
+
+
+def drop_materialised(spark: SparkSession) -> int:
+    """Delete what this session wrote by `materialise`; DataFrames that read it can't be used any more."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in paths:
+        folder = hadoop.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(paths)
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write `df` once as Parquet into the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}.parquet"
     df.write.option("compression", "zstd").parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
