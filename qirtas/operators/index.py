@@ -18,7 +18,7 @@ class Index:
     """Written once, read by every engine: no engine tokenises the corpus again."""
 
     documents: DataFrame  # id, url, content
-    postings: DataFrame  # doc_id, term, tf
+    postings: DataFrame  # doc_id, term, tf, doc_len: the length goes with each posting, so that scoring needs no join for it
     doc_stats: DataFrame  # doc_id, doc_len
     term_stats: DataFrame  # term, df, idf
     corpus_stats: DataFrame  # n_docs, avg_doc_len
@@ -46,10 +46,10 @@ def build_index(docs: DataFrame, script: str = "arabic") -> Index:
     base = successful(docs).select("id", "url", F.col("content_text").alias("content"))
     tokens = base.select(F.col("id").alias("doc_id"), tokenize(F.col("content"), script).alias("tokens"))
     # Documents without a token count in the corpus, so lengths are written with the postings, as one row without a term.
-    counted = tokens.select("doc_id", F.explode_outer("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    counted = tokens.select("doc_id", F.size("tokens").cast("long").alias("doc_len"), F.explode_outer("tokens").alias("term")).groupBy("doc_id", "doc_len", "term").agg(F.count("*").alias("tf"))
     stored = materialise(counted, "postings")
-    postings = stored.where("term is not null")
-    doc_stats = materialise(stored.groupBy("doc_id").agg(F.sum(F.when(F.col("term").isNotNull(), F.col("tf")).otherwise(0)).alias("doc_len")), "doc-stats")
+    postings = stored.where("term is not null").select("doc_id", "term", "tf", "doc_len")
+    doc_stats = materialise(stored.groupBy("doc_id").agg(F.max("doc_len").alias("doc_len")), "doc-stats")
     corpus = materialise(corpus_statistics(doc_stats), "corpus-stats")
     return Index(base, postings, doc_stats, materialise(inverse_document_frequencies(postings, corpus), "term-stats"), corpus)
 

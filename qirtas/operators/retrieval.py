@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import occurrences, split_simple, tokenize
 from ..functions.vectors import top_k_cosine
+from ..session import materialise
 from .index import Index
 
 DECIMALS = 6
@@ -52,8 +53,9 @@ def keyword_scores(queries: DataFrame, index: Index) -> DataFrame:
 def bm25_scores(queries: DataFrame, index: Index, k1: float = 1.5, b: float = 0.75, script: str = "arabic") -> DataFrame:
     """BM25 of (query_id, query); terms of no idf are skipped, repeated query terms count as often."""
     terms = queries.select("query_id", F.explode(tokenize(F.col("query"), script)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    weighted = terms.join(index.term_stats.where("idf > 0").select("term", "idf"), "term")
-    found = index.postings.join(weighted, "term").join(index.doc_stats, "doc_id").join(F.broadcast(index.corpus_stats))  # one row
+    # Written first: its size is then known when the join with all postings is planned, and a small set of queries is sent to them.
+    weighted = materialise(terms.join(index.term_stats.where("idf > 0").select("term", "idf"), "term"), "query-terms")
+    found = index.postings.join(weighted, "term").join(F.broadcast(index.corpus_stats))  # one row
     tf = F.col("tf")
     part = F.col("times") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("doc_len") / F.col("avg_doc_len")))
     return found.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), DECIMALS).alias("score")).where("score > 0")

@@ -171,7 +171,7 @@ q("prepared_texts", lambda s, sf: src.scan_full_text(docs_of(s, sf)).select("id"
   f"SELECT id, substr(t, 1, 800) AS text, length(t) > 800 AS truncated FROM (SELECT id, {strip_sql(chr(99) + 'oalesce(content_text, ' + chr(39) * 2 + ')')} AS t FROM crawl_documents WHERE crawl_status = 'success')")
 
 # ---- index ---------------------------------------------------------------------------------------------------------------
-q("term_freq", lambda s, sf: corpus(s, sf).index.postings, f"WITH {INDEX} SELECT doc_id, term, tf FROM post")
+q("term_freq", lambda s, sf: corpus(s, sf).index.postings.select("doc_id", "term", "tf"), f"WITH {INDEX} SELECT doc_id, term, tf FROM post")
 q("doc_stats", lambda s, sf: corpus(s, sf).index.doc_stats, f"WITH {INDEX} SELECT doc_id, CAST(doc_len AS BIGINT) AS doc_len FROM doc_stats")
 q("corpus_stats", lambda s, sf: corpus(s, sf).index.corpus_stats.select("n_docs", F.round("avg_doc_len", 6).alias("avg_doc_len")), f"WITH {INDEX} SELECT n_docs, round(avg_doc_len, 6) AS avg_doc_len FROM corpus")
 q("term_idf", lambda s, sf: corpus(s, sf).index.term_stats.select("term", "df", F.round("idf", 6).alias("idf")), f"WITH {INDEX} SELECT term, df, round(idf, 6) AS idf FROM terms")

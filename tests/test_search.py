@@ -208,5 +208,6 @@ def test_filters_and_columns_reach_the_scan(spark):
 
 
 def test_pools_are_limited_before_the_shuffle(spark, asked, corpus):
-    assert plan(create("bm25").search(asked, corpus, 10)).count("WindowGroupLimit") >= 2
+    text = plan(create("bm25").search(asked, corpus, 10))
+    assert text.count("WindowGroupLimit") >= 2 and "BroadcastHashJoin" in text
 
