@@ -140,7 +140,6 @@ q("success_docs", lambda s, sf: src.scan_keyword(docs_of(s, sf)), f"WITH {DOCS}
 q("full_text_scan", lambda s, sf: src.scan_full_text(docs_of(s, sf)), "SELECT id, coalesce(content_text, '') AS content FROM crawl_documents WHERE crawl_status = 'success'")
 q("doc_count", lambda s, sf: src.successful(docs_of(s, sf)).agg(F.count("*").alias("n")), f"WITH {DOCS} SELECT count(*) AS n FROM docs")
 q("point_lookup", lambda s, sf: src.by_id(docs_of(s, sf), 9).select("id", "url", "crawl_status", "http_status"), "SELECT id, url, crawl_status, http_status FROM crawl_documents WHERE id = 9")
-q("url_lookup", lambda s, sf: docs_of(s, sf).join(docs_of(s, sf).where("id % 50 = 0").select("url"), "url", "left_semi").select("id", "url"), "SELECT id, url FROM crawl_documents WHERE url IN (SELECT url FROM crawl_documents WHERE id % 50 = 0)")
 q("ground_truth", lambda s, sf: truth_of(s, sf).withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("relevant_docs", "highly_relevant")}),
   f"WITH {TRUTH} SELECT id, query, coalesce(description, '') AS description, array_to_string(relevant_docs, ',') AS relevant_docs, array_to_string(highly_relevant, ',') AS highly_relevant FROM truth")
 q("qrels", lambda s, sf: src.qrels(truth_of(s, sf)), f"WITH {TRUTH} SELECT DISTINCT query_id, doc_id, list_contains(h, doc_id) AS highly_relevant FROM (SELECT id AS query_id, unnest(relevant_docs) AS doc_id, highly_relevant AS h FROM truth)")
@@ -300,6 +299,7 @@ def listed(s, sf):
 
 _LISTED = "listed AS (SELECT DISTINCT url FROM (" + _SQL["sitemap_urls"] + "))"
 _AS_OF = "TIMESTAMPTZ '2025-06-01 00:00:00+00'"
+q("url_lookup", lambda s, sf: docs_of(s, sf).join(listed(s, sf), "url", "left_semi").select("id", "url"), f"WITH {_LISTED} SELECT id, url FROM crawl_documents WHERE url IN (SELECT url FROM listed)")
 q("refresh_all", lambda s, sf: ig.urls_to_crawl(listed(s, sf), docs_of(s, sf), refresh=True), f"WITH {_LISTED} SELECT url FROM listed")
 q("refresh_failed", lambda s, sf: ig.urls_to_crawl(listed(s, sf), docs_of(s, sf), retry_failed=True), f"WITH {_LISTED} SELECT url FROM listed WHERE url IN (SELECT url FROM crawl_documents WHERE crawl_status = 'failed')")
 q("refresh_age", lambda s, sf: ig.urls_to_crawl(listed(s, sf), docs_of(s, sf), refresh_days=90, as_of=AS_OF),
