@@ -1,13 +1,15 @@
 """Error pages, script notices, filler and unfilled fields in place of content (problem 7).
 
-Normalised lines are counted by host; those that recur on many of its pages are boilerplate and subtracted. What is left of
-each page is judged: an unfilled field anywhere is evidence by itself; messages, notices and filler are evidence only where
-nothing but a heading stands beside them, so that pages which talk about errors stay.
+Normalised lines are counted by host; those that recur on many of its pages are boilerplate and no content. An unfilled field
+anywhere is evidence by itself; messages, notices and filler, however often they recur, are evidence only where nothing but a
+heading or boilerplate stands beside them, so that pages which talk about errors stay.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -95,13 +97,25 @@ def line_evidence(line: str) -> str | None:
     return None
 
 
-def judge(lines: list[str]) -> str | None:
-    """Why a page has no content: "field", "error", "script" or "filler"; None if it has. lines: its residual."""
+@lru_cache(1 << 15)
+def _recurrent_evidence(line: str) -> str | None:
+    return line_evidence(clean_line(line))
+
+
+def judge(lines: list[str], recurrent: Sequence[bool] | None = None) -> str | None:
+    """Why a page has no content: "field", "error", "script" or "filler"; None if it has.
+
+    recurrent: which lines are boilerplate of the host; they are evidence as any other line, but never content.
+    """
     text = "\n".join(lines)
     if _FIELD.search(text):
         return "field"
     kinds, content = [], 0
-    for line in lines:
+    for line, often in zip(lines, recurrent or [False] * len(lines)):
+        if often:
+            if kind := _recurrent_evidence(line):
+                kinds.append(kind)
+            continue
         line = clean_line(line)
         kind = line_evidence(line)
         if kind:
@@ -119,21 +133,20 @@ def template_residue(df: DataFrame, id_col: str = "id", url_col: str = "url", te
     """(id, reason) of the rows that hold a message, a notice, filler or an unfilled field; `http_status` is not trusted.
 
     Null and empty texts give nothing, as there is no text that stands in place of content. Rows without a host have no
-    boilerplate to subtract. Repeated rows come out as often as they occur; other columns are ignored.
+    boilerplate. Repeated rows come out as often as they occur; other columns are ignored.
     """
     docs = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(text_col).alias("content_text")).where("content_text is not null")
     often = materialise(frequent_lines(docs, min_rows, min_share).groupBy("site").agg(F.collect_set("key").alias("often")), "recurrent-lines")
     joined = docs.withColumn("site", F.xxhash64(host(F.col("url")))).join(often, "site", "left")
-    residual = F.filter(F.split("content_text", "\n"), lambda x: F.trim(x) != "")
-    marked = joined.select("id", residual.alias("lines"), F.col("often"))
-    plain = F.filter("lines", lambda x: ~F.coalesce(F.array_contains("often", line_key(x)), F.lit(False)))
-    ready = marked.select("id", F.when(F.col("often").isNull(), F.col("lines")).otherwise(plain).alias("lines"))
+    marked = joined.select("id", F.filter(F.split("content_text", "\n"), lambda x: F.trim(x) != "").alias("lines"), "often")
+    known = F.transform("lines", lambda x: F.coalesce(F.array_contains("often", line_key(x)), F.lit(False)))
+    ready = marked.select("id", "lines", F.when(F.col("often").isNotNull(), known).alias("recurrent"))
 
     def make():
         def step(batch):
             ids, reasons = [], []
-            for i, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if why := judge(lines):
+            for i, lines, recurrent in zip(*(c.to_pylist() for c in batch.columns)):
+                if why := judge(lines, recurrent):
                     ids.append(i), reasons.append(why)
             return ids, reasons
 

@@ -223,3 +223,13 @@ def test_pages_without_content_stand_out(spark):
     rows += [(100, "https://a.example/e", None, "Subscribe to the bulletin\n404\nSorry\nthe page you asked for does not exist", 200), (101, "https://a.example/f", None, f"{BODY}\nfee: undefined", 200)]
     found = {r["id"]: r["reason"] for r in template_residue.template_residue(pages(spark, rows)).collect()}
     assert found == {100: "error", 101: "field"}
+
+
+def test_recurrent_messages_and_fields_are_no_boilerplate(spark):
+    menu, banner = "Subscribe to the bulletin: news, dates and all the offers of the town", "To see this page you must enable JavaScript!"
+    rows = [(i, f"https://a.example/{i}", None, f"{menu}\n{banner}\nPermit\n{BODY.format(chr(1000 + i))}", 200) for i in range(40)]
+    rows += [(100 + i, f"https://a.example/e{i}", None, f"{menu}\n404\nSorry\nthe page you asked for does not exist", 200) for i in range(30)]
+    rows += [(200 + i, f"https://a.example/f{i}", None, f"{menu}\nphone: {{{{phone}}}}\n{BODY.format(chr(1100 + i))}", 200) for i in range(10)]
+    rows += [(300 + i, f"https://a.example/l{i}", None, f"phone: phone\n{BODY.format(chr(1200 + i))}", 200) for i in range(10)]
+    found = {r["id"]: r["reason"] for r in template_residue.template_residue(pages(spark, rows)).collect()}
+    assert found == {100 + i: "error" for i in range(30)} | {200 + i: "field" for i in range(10)}
