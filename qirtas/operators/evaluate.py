@@ -58,6 +58,11 @@ def benchmark(per_query: DataFrame) -> DataFrame:
     return per_query.groupBy("engine").agg(F.count("*").alias("queries"), *(F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(c) for c in names))
 
 
+def numbered_runs(results: DataFrame) -> DataFrame:
+    """Results with `run_no`: the runs of each engine and query, counted from 1 in the order of their ids."""
+    return results.withColumn("run_no", F.dense_rank().over(Window.partitionBy("engine", "query_id").orderBy("run_id")))
+
+
 def side_by_side(results: DataFrame, engines: list[str], top: int = 5, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """The top results of each engine, aligned by rank: one column of doc ids an engine."""
     return results.where(F.col("rank") <= top).groupBy(*keys, "rank").pivot("engine", engines).agg(F.first("doc_id"))

@@ -276,6 +276,12 @@ q("engine_position_pivot", lambda s, sf: ev.side_by_side(first_runs(s, sf), _ENG
 q("engine_mrr_pivot", lambda s, sf: ev.mrr_matrix(per_run(s, sf), _ENGINES), f"WITH {_METRICS} SELECT query_id, {', '.join(f'round(avg(CASE WHEN engine = {chr(39)}{e}{chr(39)} THEN mrr END), 6) AS {e}' for e in _ENGINES)} FROM per GROUP BY query_id")
 
 
+_LOGGED = ["bm25", "hybrid", "hybrid-rrf-fusion", "hybrid-weighted", "keyword", "vector-gemma"]
+q("engine_position_pivot_all", lambda s, sf: ev.side_by_side(ev.numbered_runs(runs_of(s, sf)), _LOGGED, keys=("query_id", "run_no")), f"""WITH {_RUNS}, numbered AS (SELECT *, dense_rank() OVER (PARTITION BY engine, query_id ORDER BY run_id) AS run_no FROM runs)
+    SELECT query_id, run_no, rank, {", ".join(f"max(CASE WHEN engine = '{e}' THEN doc_id END) AS " + f'"{e}"' for e in _LOGGED)} FROM numbered WHERE rank <= 5 GROUP BY query_id, run_no, rank""")
+q("engine_mrr_pivot_all", lambda s, sf: ev.mrr_matrix(per_run(s, sf), _LOGGED), f"WITH {_METRICS} SELECT query_id, " + ", ".join(f"round(avg(CASE WHEN engine = '{e}' THEN mrr END), 6) AS " + f'"{e}"' for e in _LOGGED) + " FROM per GROUP BY query_id")
+
+
 def first_runs(s, sf):
     """The first run of each engine and query."""
     runs = runs_of(s, sf).where(F.col("engine").isin(_ENGINES))
