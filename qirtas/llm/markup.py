@@ -47,8 +47,6 @@ _SCAN = re.compile(
   | (?P<wiki_table>^[ ]*(?:\{\|.*|\|\}|\|-+[ ]*)$)
   | (?P<wiki_switch>__[A-Z]{3,}__)
   | (?P<latex_verbatim>\\begin\{(?:verbatim|lstlisting)\}.*?\\end\{(?:verbatim|lstlisting)\})
-  | (?P<latex_display>\\\[[^\n]{0,2000}?\\\]|\$\$[^$\n]+\$\$|\\\([^\n]{0,2000}?\\\))
-  | (?P<latex_math>(?<![\\$\w])\$(?=[^\s$\d])[^$\n\\_^]{0,200}(?:\\[a-zA-Z]+|[_^]\{?)[^$\n]{0,500}\$(?!\d))
   | (?P<latex_environment>\\(?:begin|end)\{[a-zA-Z*]+\}(?:\{[^{}\n]*\}|\[[^\]\n]*\])*)
   | (?P<latex_section>\\(?:part|chapter|(?:sub){0,2}section|paragraph)\*?\{[^{}\n]*\})
   | (?P<latex_item>\\item(?:\[[^\]\n]*\])?[ ]*)
@@ -58,6 +56,11 @@ _SCAN = re.compile(
     """,
     re.X | re.M | re.S,
 )
+#: Marks that open or close a formula; an escaped character is none, and a blank line ends what `\[`, `\(` and `$` opened.
+_MARKS = re.compile(r"\\(?:(begin|end)\{([a-zA-Z]+\*?)\}|[^\n])|\$\$?|\n[ \t]*(?=\n)")
+_FORMULAS = frozenset("math displaymath equation eqnarray align alignat flalign xalignat gather multline split aligned alignedat gathered cases array matrix pmatrix bmatrix vmatrix smallmatrix dmath".split())
+_PAIRS = {r"\]": r"\[", r"\)": r"\("}
+_IN_MATH, _WHOLE = re.compile(r"\\[a-zA-Z]|[_^]"), re.compile(".*", re.S)
 _MAYBE = re.compile(r"[<&*`~\\$\[{']|^[ ]{0,8}(?:[#=>+:;|-]|\d+\.)|__", re.M)
 
 #: Cost of calling a span text, less the cost of calling it markup. Small values need support from the spans around them.
@@ -101,11 +104,67 @@ def _cost(kind: str, m: re.Match, text: str) -> float:
     return w
 
 
+def _dollars(text: str, start: int, end: int, width: int) -> bool:
+    """Whether text[start:end], from `$` to `$` or `$$` to `$$`, is a formula and no prices, variables or rating."""
+    body, after = text[start + width : end - width], text[end : end + 1]
+    if width == 2:
+        alone = "\n" not in body or not (text[text.rfind("\n", 0, start) + 1 : start].strip() or text[end : (text + "\n").index("\n", end)].strip())
+        return bool(body.strip()) and (alone or bool(_IN_MATH.search(body)))
+    if not body or body[0].isspace() or body[0].isdigit() or after.isdigit() or not _IN_MATH.search(body):
+        return False
+    return "\n" not in body or not (body[-1].isspace() or re.match(r"\w", after))
+
+
+def formulas(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, construct) of formulas of any length between their marks, by start, found in one pass; they may overlap."""
+    found, opened, inside = [], {}, {}
+    for m in _MARKS.finditer(text):
+        mark, start, end = m[0], m.start(), m.end()
+        if mark[0] == "\n":
+            opened.clear()
+        elif m[1]:
+            if m[2].rstrip("*") in _FORMULAS:
+                if m[1] == "begin":
+                    inside.setdefault(m[2], []).append(start)
+                elif inside.get(m[2]):
+                    found.append((inside[m[2]].pop(), end, "latex_display"))
+        elif mark in _PAIRS.values():
+            opened[mark] = start
+        elif mark in _PAIRS:
+            if (first := opened.pop(_PAIRS[mark], None)) is not None:
+                found.append((first, end, "latex_display"))
+        elif mark[0] == "$":
+            first = opened.pop(mark, None)
+            if mark == "$$":
+                opened.pop("$", None)
+            if first is not None and _dollars(text, first, end, len(mark)):
+                found.append((first, end, "latex_math" if mark == "$" else "latex_display"))
+            elif mark == "$$" or not re.match(r"[\w$]", text[start - 1 : start]):
+                opened[mark] = start
+    return sorted(found, key=lambda x: (x[0], -x[1]))
+
+
+def _candidates(text: str) -> list[tuple[re.Match, str]]:
+    """What may be markup, in order and without overlap: the first to start counts, a formula before anything else."""
+    found, at, m = [], 0, _SCAN.search(text)
+    for start, end, kind in [*formulas(text), (len(text) + 1, 0, "")]:
+        while m and m.start() < start and start >= at:
+            found.append((m, m.lastgroup if m.lastgroup != "eq" else "wiki_heading"))
+            at = m.end()
+            m = _SCAN.search(text, at)
+        if at <= start <= len(text):
+            found.append((_WHOLE.match(text, start, end), kind))
+            at = end
+            if m and m.start() < at:
+                m = _SCAN.search(text, at)
+    return found
+
+
 def spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, construct) of the markup in a text, in order."""
     if not _MAYBE.search(text):
         return []
-    found = [(m, m.lastgroup if m.lastgroup != "eq" else "wiki_heading") for m in _SCAN.finditer(text)]
+    found = _candidates(text)
     if not found:
         return []
     costs = [(c, 0.0) if (c := _cost(k, m, text)) > 0 else (0.0, -c) for m, k in found]
@@ -190,11 +249,16 @@ def clean_text(text: str) -> tuple[str, list[str]]:
     found = spans(text)
     if not found:
         return text, []
-    out, at = [], 0
+    # Formulas stay as they are: a character that the text has not stands for them until all else is clean.
+    taken = text + html.unescape(text)
+    stand_in = next(c for c in map(chr, range(0xE000, 0x110000)) if c not in taken)
+    out, at, kept = [], 0, []
     for start, end, kind in found:
         out.append(text[at:start])
         line_start = not text[text.rfind("\n", 0, start) + 1 : start].strip() or "".join(out[-3:]).endswith("\n")
-        new = _convert(kind, text[start:end], line_start)
+        new = stand_in if kind in ("latex_display", "latex_math") else _convert(kind, text[start:end], line_start)
+        if new == stand_in:
+            kept.append(text[start:end])
         if kind == "markdown_setext":  # the line above is the heading
             joined = "".join(out).rstrip("\n")
             head = joined.rfind("\n") + 1
@@ -209,7 +273,10 @@ def clean_text(text: str) -> tuple[str, list[str]]:
     if any(k.startswith("latex") for _, _, k in found):
         clean = re.sub(r"(?m)^([^&\n]{1,200}) & ([^\n]*)$", lambda m: m[1] + " | " + m[2].replace(" & ", " | "), clean)
     clean = re.sub(r"(?m)[ \t]*\|[ \t]*$|[ \t]+$", "", clean)
-    return re.sub(r"\n{3,}", "\n\n", clean).strip("\n"), [k for k in KINDS if any(x[2].startswith(k) for x in found)]
+    clean = re.sub(r"\n{3,}", "\n\n", clean).strip("\n")
+    if kept:
+        clean = "".join(a + b for a, b in zip(clean.split(stand_in), [*kept, ""]))
+    return clean, [k for k in KINDS if any(x[2].startswith(k) for x in found)]
 
 
 def clean_markup(df: DataFrame, id_col: str = "id", text_col: str = "content_text") -> DataFrame:

@@ -135,6 +135,33 @@ def test_markup_becomes_clean_text(text, clean, kinds):
     assert markup.clean_text(text) == (text if clean is None else clean, kinds)
 
 
+LONG = " + ".join(r"\frac{a_{%d}}{b}" % i for i in range(300))
+
+
+@pytest.mark.parametrize(
+    "formula",
+    [
+        rf"\[{LONG}\]", rf"\({LONG}\)", f"${LONG}$", "$" + "x_1 + " * 200 + "y$", "\\[\n\\frac{a}{b}  \\\\[2pt]\n|x|\n\\]", "$$\n\\frac{a}{b}\n$$", "$\\frac{a}{b} +\nc$",
+        "\\begin{align*}\na & = \\frac{a}{b} \\\\\n|b| & = |c|\n\\end{align*}", "\\begin{equation}\n\\begin{array}{ll}\\frac{a}{b} & \\begin{array}{l}c\\end{array}\\end{array}\n\n\n\n\\end{equation}", r"$$\frac{a}{b}$$",
+    ],
+)
+def test_formulas_of_any_length_and_over_lines_stay(formula):
+    clean, kinds = markup.clean_text(f"The \\textbf{{fee}} &#xE000;is\n{formula}\nfor \\emph{{all}} \\footnote{{note}}.\na & b")
+    assert clean == f"The fee \ue000is\n{formula}\nfor all  (note).\na | b" and kinds == ["html", "latex"]
+
+
+@pytest.mark.parametrize("text", ["from $5 to $7_000", "$HOME_DIR\nand\n$OTHER_DIR", "$$ or\nmore $$ a night", "\\begin{equation} is\n\\] not \\[ closed", "$a_1\n\nb$"])
+def test_single_marks_are_no_formulas(text):
+    assert markup.formulas(text) == []
+
+
+def test_formula_marks_take_linear_time():
+    for part in ("\\[", "\\(", "$x_", "$$", "\\[ \\( $", "\\begin{align}", "$ a_1 $\n", "\\] \\)"):
+        began = time.process_time()
+        markup.clean_text(part * 20_000)
+        assert time.process_time() - began < 10
+
+
 # ---- template residue
 @pytest.mark.parametrize(
     "text, why",
