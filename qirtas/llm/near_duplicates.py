@@ -7,6 +7,8 @@ on a band, and a Gray-order index (gray_index) joins each of them by Hamming dis
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -203,13 +205,16 @@ class NearDuplicates:
         n = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
         return self.classes().join(n, "rep", "left").select("id", F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
-    def groups(self, rounds: int = 40) -> DataFrame:
+    def groups(self, rounds: int | None = None) -> DataFrame:
         """(id, group_id, size): connected groups of linked rows; group_id is the least id. Rows without a partner are left out.
 
-        Alternates large-star and small-star steps on tables written each round, until no edge changes.
+        Alternates large-star and small-star steps on tables written each round, until no edge changes. With a limit of
+        rounds, a RuntimeError says that edges still changed in the last one.
         """
         edges = self.links().select(F.col("b").alias("u"), F.col("a").alias("v"))
-        for k in range(rounds):
+        for k in count():
+            if k == rounds:
+                raise RuntimeError(f"groups still change after {rounds} rounds")
             both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
             least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
             large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

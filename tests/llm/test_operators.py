@@ -233,3 +233,11 @@ def test_recurrent_messages_and_fields_are_no_boilerplate(spark):
     rows += [(300 + i, f"https://a.example/l{i}", None, f"phone: phone\n{BODY.format(chr(1200 + i))}", 200) for i in range(10)]
     found = {r["id"]: r["reason"] for r in template_residue.template_residue(pages(spark, rows)).collect()}
     assert found == {100 + i: "error" for i in range(30)} | {200 + i: "field" for i in range(10)}
+
+
+def test_groups_are_whole_or_an_error(spark):
+    text = [f"word{i}" for i in range(60)]
+    chain = near_duplicates.NearDuplicates(pages(spark, [(i, None, None, " ".join(text[i : i + 30]), 200) for i in range(30)]), shingle=3)
+    with pytest.raises(RuntimeError):
+        chain.groups(rounds=1)
+    assert {tuple(r) for r in chain.groups().collect()} == {(i, 0, 30) for i in range(30)}
