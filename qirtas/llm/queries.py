@@ -15,7 +15,7 @@ from .main_body import MainBody, main_body
 from .markup import clean_markup
 from .mixing import Mix, count_tokens
 from .near_duplicates import NearDuplicates
-from .repeated_lines import remove_repeated_lines, repeated_line_places
+from .repeated_lines import remove_repeated_lines, repeated_line_blocks, repeated_line_places
 from .splitting import split_oversized
 from .template_residue import template_residue
 
@@ -32,6 +32,10 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return repeated_line_places(table(spark, sf, "crawl_documents"))
 
 
+def p2_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    return repeated_line_blocks(table(spark, sf, "crawl_documents"))
+
+
 def p2_clean_texts(spark: SparkSession, sf: str) -> DataFrame:
     return remove_repeated_lines(table(spark, sf, "crawl_documents"))
 

@@ -81,22 +81,31 @@ def _intervals(batches, schema):
         yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, target)], schema=target)
 
 
-def repeated_blocks(lines: DataFrame, frequent: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
+def repeated_blocks(lines: DataFrame, frequent: DataFrame, min_rows: int = MIN_ROWS, exact: bool = False) -> DataFrame:
     """(site, block, docs): blocks of consecutive lines that span many documents of a host, from sorted suffixes.
 
     Only runs of frequent lines matter, as a block spans no more documents than its rarest line. Equal suffixes are
     counted before they are sorted; a partition holds whole buckets of one first line and streams through them.
-    docs is exact for blocks of one line; for longer ones it counts occurrences, at most the documents of the first line.
+    docs is exact for blocks of one line; for longer ones it counts occurrences, at most the documents of the first line,
+    unless exact is set: what two neighbouring suffixes of one document have in common is then taken off once.
     """
     # Frequent lines without other lettered lines between them form a run: the difference of both numberings is constant.
     marked = lines.where("key is not null").join(frequent.select("site", "key"), ["site", "key"])
     runs = marked.groupBy("id", "site").agg(F.array_sort(F.collect_list(F.struct("line_no", "key"))).alias("found"))
     keys, numbers = F.col("found.key"), F.col("found.line_no")
     # A suffix ends before the first gap of more than two line numbers (an unlettered line may stand between).
-    starts = runs.select("site", F.posexplode(keys).alias("at", "first"), keys.alias("keys"), numbers.alias("numbers"))
+    starts = runs.select("id", "site", F.posexplode(keys).alias("at", "first"), keys.alias("keys"), numbers.alias("numbers"))
     gap = F.filter(F.sequence(F.col("at") + 1, F.size("keys")), lambda i: (i >= F.size("keys")) | (F.get("numbers", i) - F.get("numbers", i - 1) > 2))
-    suffix = starts.select("site", "first", F.slice("keys", F.col("at") + 1, F.get(gap, F.lit(0)) - F.col("at")).alias("suffix"))
+    suffix = starts.select("id", "site", "first", F.slice("keys", F.col("at") + 1, F.get(gap, F.lit(0)) - F.col("at")).alias("suffix"))
     counted = suffix.groupBy("site", "first", "suffix").agg(F.count("*").alias("n"))
+    if exact:
+        # A document's suffixes in order: a block that it holds k times is a prefix of k neighbours, hence of k - 1 common prefixes.
+        own = suffix.groupBy("id", "site").agg(F.array_sort(F.collect_list("suffix")).alias("all")).where("size(all) > 1")
+        pair = own.select("site", F.explode(F.arrays_zip(F.slice("all", 1, F.size("all") - 1).alias("a"), F.slice("all", 2, F.size("all") - 1).alias("b"))).alias("p"))
+        differ = F.array_position(F.zip_with("p.a", "p.b", lambda x, y: F.coalesce(x == y, F.lit(False))), False)
+        common = pair.select("site", F.slice("p.a", 1, F.when(differ > 0, differ - 1).otherwise(F.size("p.a")).cast("int")).alias("suffix")).where("size(suffix) > 0")
+        again = common.groupBy("site", F.col("suffix")[0].alias("first"), "suffix").agg((-F.count("*")).alias("n"))
+        counted = counted.unionByName(again).groupBy("site", "first", "suffix").agg(F.sum("n").alias("n"))
     sized = counted.join(frequent.select("site", F.col("key").alias("first"), "docs"), ["site", "first"])
     ordered = sized.repartition("site", "first").sortWithinPartitions("site", "suffix").select("site", "suffix", "n", "docs")
     schema = schema_of("site bigint, block array<bigint>, n bigint, first_docs bigint")
@@ -117,6 +126,12 @@ def repeated_line_places(df: DataFrame, min_rows: int = MIN_ROWS, min_share: flo
     return lines.where("key is not null").join(covering, ["site", "key"], "left_semi").select("id", "line_no").distinct()
 
 
+def repeated_line_blocks(df: DataFrame, min_rows: int = MIN_ROWS, min_share: float = MIN_SHARE, **columns: str) -> DataFrame:
+    """(site, block, docs): blocks of one and more frequent lines, as hashes of host and lines, with exact numbers of documents."""
+    frequent = materialise(frequent_lines(df, min_rows, min_share, **columns), "frequent-lines")
+    return repeated_blocks(host_lines(df, **columns), frequent, min_rows, exact=True)
+
+
 def remove_repeated_lines(df: DataFrame, id_col: str = "id", url_col: str = "url", text_col: str = "content_text", **limits) -> DataFrame:
     """(id, clean_text, removed): every text without its host's repeated lines. Null texts stay null; rows are kept."""
     places = repeated_line_places(df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(text_col).alias("content_text")), **limits)

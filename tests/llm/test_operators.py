@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from qirtas.llm import language, leakage, main_body, markup, mixing, near_duplicates, repeated_lines, splitting, template_residue
 from qirtas.llm.common import words
@@ -241,3 +242,13 @@ def test_groups_are_whole_or_an_error(spark):
     with pytest.raises(RuntimeError):
         chain.groups(rounds=1)
     assert {tuple(r) for r in chain.groups().collect()} == {(i, 0, 30) for i in range(30)}
+
+
+def test_blocks_count_documents(spark):
+    rng = random.Random(5)
+    letters = [[rng.choice("abc") for _ in range(rng.randrange(1, 9))] for _ in range(60)]
+    table = pages(spark, [(i, "https://a.example/x", None, "\n".join(x), 200) for i, x in enumerate(letters)])
+    want = Counter(b for x in letters for b in {tuple(x[i:j]) for i in range(len(x)) for j in range(i + 1, len(x) + 1)})
+    name = {r["key"]: c for c in "abc" for r in spark.createDataFrame([(c,)], "c string").select(repeated_lines.line_key(F.col("c")).alias("key")).collect()}
+    found = {tuple(name[k] for k in r["block"]): r["docs"] for r in repeated_lines.repeated_line_blocks(table).collect()}
+    assert found == {b: n for b, n in want.items() if n >= 5}
