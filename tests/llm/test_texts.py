@@ -135,7 +135,7 @@ def test_markup_becomes_clean_text(text, clean, kinds):
     assert markup.clean_text(text) == (text if clean is None else clean, kinds)
 
 
-LONG = " + ".join(r"\frac{a_{%d}}{b}" % i for i in range(300))
+LONG = " + ".join([r"\frac{a}{b}"] * 300)
 
 
 @pytest.mark.parametrize(
