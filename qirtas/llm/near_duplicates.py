@@ -1,8 +1,10 @@
 """Near-duplicate texts with small edits, by fingerprints in a Gray-order hierarchical index (problem 3).
 
-Each text gets one-bit minwise hashes of its word shingles as a fingerprint. A whole collection is too large for one index:
-the fingerprint tables are partitioned by minwise bands, so that each partition is a set of bit patterns that already agree
-on a band, and a Gray-order index (gray_index) joins each of them by Hamming distance. What it finds is checked exactly.
+Each text gets one-bit minwise hashes of its word shingles as a fingerprint. At a similarity of 0.55 one tree over one order of
+the bits prunes nothing, so there are 48 tables, each with other minwise hashes (a band) as leading bits, all sorted by Gray
+rank and cut into ranges. The upper nodes of a table fix the bits of its band, and differences on them are never allowed; the
+lower ones fix shared bits of the fingerprint, whose differences add up to the bound. All pairs come from these trees
+(gray_index), whatever the size of a node, and are then checked exactly.
 """
 
 from __future__ import annotations
@@ -17,14 +19,16 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from .common import map_batches, words
-from .gray_index import near_pairs
+from .gray_index import gray_code, gray_rank, near_pairs
 
 #: A pair with a Jaccard similarity s shares a band with probability 1 - (1 - s^3)^48, that is 0.9998 at 0.55 and 1 - 2e-15 at 0.8.
 BANDS, ROWS = 48, 3
 HASHES = BITS = 256
 WORDS = BITS // 64
 FINGER = [f"f{k}" for k in range(WORDS)]
-#: Members of one band that are joined in one task; larger groups are cut into blocks, and each two blocks meet in a task.
+#: A range of Gray ranks has so many leading bits in common.
+RANGE_BITS = 16
+#: Members of one node that are joined in one task; larger groups are cut into blocks, and each two blocks meet in a task.
 BLOCK = 4096
 
 _rng = np.random.default_rng(20240101)
@@ -69,7 +73,7 @@ def shingle_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
 
 
 def sketch(shingles: np.ndarray) -> tuple[np.ndarray, list[int]]:
-    """Band keys and the words of the fingerprint."""
+    """Gray ranks of the band patterns and the words of the fingerprint."""
     low = np.empty(HASHES, dtype=np.uint64)
     for at in range(0, len(low), 32):
         low[at : at + 32] = (shingles[None, :] * _MULT[at : at + 32, None] + _ADD[at : at + 32, None]).min(1)
@@ -78,6 +82,7 @@ def sketch(shingles: np.ndarray) -> tuple[np.ndarray, list[int]]:
     for k in range(ROWS):
         keys = _mix(keys ^ hashed[k : BANDS * ROWS : ROWS])
     bits = (hashed & np.uint64(1)).astype(np.uint8)
+    keys = gray_rank(keys[:, None])[0]
     return keys, np.packbits(bits).view(">u8").astype(np.uint64).tolist()
 
 
@@ -111,25 +116,8 @@ def _joined(batches, most: int):
 
     def pairs(cols):
         key, bi, bj, own, ids, *finger = cols
-        change = np.flatnonzero((key[1:] != key[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])) + 1
-        start, end = np.r_[0, change], np.r_[change, len(key)]
-        size = end - start
-        bits = np.stack(finger, 1).view(np.uint64)
-        out_a, out_b = [], []
-        # Small groups at once: members at a distance of d rows, for each d.
-        group = np.repeat(np.arange(len(size)), size)
-        small = np.repeat(size <= 16, size)
-        for d in range(1, min(16, int(size.max(initial=0)))):
-            i = np.flatnonzero((group[d:] == group[:-d]) & small[d:])
-            if len(i):
-                near = np.bitwise_count(bits[i] ^ bits[i + d]).sum(1, dtype=np.int64) <= most
-                out_a.append(i[near]), out_b.append(i[near] + d)
-        for g in np.flatnonzero(size > 16):
-            i, j = near_pairs(bits[start[g] : end[g]], most)
-            out_a.append(i + start[g]), out_b.append(j + start[g])
-        if not out_a:
-            return None
-        i, j = np.concatenate(out_a), np.concatenate(out_b)
+        same = np.stack([gray_code(key.view(np.uint64)), (bi.astype(np.uint64) << np.uint64(32)) | bj.astype(np.uint64)], 1)
+        i, j = near_pairs(np.stack(finger, 1).view(np.uint64), most, same)
         ok = ((bi[i] == bj[i]) | (own[i] != own[j])) & (ids[i] != ids[j])
         found = np.unique(np.stack([np.minimum(ids[i], ids[j])[ok], np.maximum(ids[i], ids[j])[ok]], 1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"]) if len(found) else None
@@ -171,15 +159,22 @@ class NearDuplicates:
         self._links: DataFrame | None = None
 
     def _candidates(self) -> DataFrame:
+        """Pairs within the Hamming bound, from the Gray-order trees of all band tables.
+
+        A tree's upper nodes fix the bits of its band; they are numbered by Gray rank. A node with one member has no pair, so
+        nodes are counted first, from (rank, id) alone, and only members of others get their fingerprints and go to the
+        tasks that hold the ranges of the rank.
+        """
         heads = self.store.select("id", "bands", *FINGER).join(self.copies, "id", "left_anti")
-        rows = heads.select(F.explode("bands").alias("key"), "id", *FINGER)
-        # As many as rows / block at most; joined by broadcast only where Spark finds the written table small enough.
-        hot = materialise(rows.groupBy("key").count().where(F.col("count") > self.block).select("key", F.ceil(F.col("count") / self.block).cast("int").alias("parts")), "hot-bands")
-        own = F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int")
-        salted = rows.join(hot, "key", "left").withColumn("own", own)
-        other = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("other")
-        salted = salted.select("key", "own", other, "id", *FINGER).select("key", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "id", *FINGER)
-        ordered = salted.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+        rows = heads.select(F.explode("bands").alias("key"), "id")
+        # Counted before the shuffle; a hot node is a row here, and cut into parts below.
+        nodes = materialise(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / self.block).cast("int").alias("parts")), "gray-nodes")
+        members = rows.join(nodes, "key").join(heads.select("id", *FINGER), "id")
+        own = F.pmod(F.xxhash64("id"), "parts").cast("int")
+        salted = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        salted = salted.select("key", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "id", *FINGER)
+        # Ranks are spread evenly, so ranges of equal width are ranges of about equal size.
+        ordered = salted.repartition(F.shiftrightunsigned("key", 64 - RANGE_BITS), "bi", "bj").sortWithinPartitions("key", "bi", "bj")
         most = self.most
         return ordered.mapInArrow(lambda batches: _joined(batches, most), "a bigint, b bigint").distinct()
 

@@ -53,6 +53,15 @@ def p3_documents(spark: SparkSession, sf: str) -> DataFrame:
     return NearDuplicates(table(spark, sf, "crawl_documents")).documents()
 
 
+def p3_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Linked pairs of class representatives; p3_classes has the members."""
+    return _page_duplicates(spark, sf).links()
+
+
+def p3_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return _page_duplicates(spark, sf).classes()
+
+
 def p3_groups(spark: SparkSession, sf: str) -> DataFrame:
     return _page_duplicates(spark, sf).groups()
 

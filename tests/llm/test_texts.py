@@ -56,6 +56,16 @@ def test_index_finds_all_near_pairs(n):
     assert found == {(a, b) for a, b in zip(*np.nonzero(distance <= 40)) if a < b} and len(i) == len(found)
 
 
+@pytest.mark.parametrize("n", [2, 9, 40, 700])
+def test_leading_bits_must_agree(n):
+    rng = np.random.default_rng(n)
+    bits, lead = rng.integers(0, 2**63, (n, 4), dtype=np.uint64), rng.integers(0, max(2, n // 4), (n, 2), dtype=np.uint64)
+    i, j = near_pairs(bits, 128, lead)
+    distance = np.bitwise_count(bits[:, None] ^ bits[None]).sum(2, dtype=np.int64)
+    want = {(a, b) for a, b in zip(*np.nonzero((distance <= 128) & (lead[:, None] == lead[None]).all(2))) if a < b}
+    assert {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist())} == want and len(i) == len(want)
+
+
 def test_fingerprints_of_similar_texts_are_near():
     rng = random.Random(5)
     words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
