@@ -36,6 +36,11 @@ def p2_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return repeated_line_blocks(table(spark, sf, "crawl_documents"))
 
 
+def p2_block_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """How many blocks of so many lines span so many documents of a host."""
+    return p2_blocks(spark, sf).groupBy("host", F.size("block").alias("lines"), "docs").agg(F.count("*").alias("blocks"))
+
+
 def p2_clean_texts(spark: SparkSession, sf: str) -> DataFrame:
     return remove_repeated_lines(table(spark, sf, "crawl_documents"))
 
@@ -140,20 +145,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit() and callable(f)}
 
 
-SQL: dict[str, str] = {
-    "p1_found": "SELECT id FROM crawl_documents WHERE length(content_text) > 4000",
-    "p2_found": r"""
-        WITH pages AS (
+_LINES = r"""
+        pages AS (
             SELECT id, regexp_extract(url, '//([^/]*)', 1) AS site, string_split(content_text, chr(10)) AS ls
             FROM crawl_documents WHERE content_text IS NOT NULL AND regexp_extract(url, '//([^/]*)', 1) <> ''),
         lines AS (
-            SELECT id, site, CAST(i AS INTEGER) AS line_no, regexp_replace(lower(ls[i]), '[^\p{L}]+', '', 'g') AS letters
-            FROM (SELECT id, site, ls, unnest(range(1, len(ls) + 1)) AS i FROM pages)),
+            SELECT *, row_number() OVER (PARTITION BY id ORDER BY line_no) AS pos FROM (
+                SELECT id, site, CAST(i AS INTEGER) AS line_no, regexp_replace(lower(ls[i]), '[^\p{L}]+', '', 'g') AS letters
+                FROM (SELECT id, site, ls, unnest(range(1, len(ls) + 1)) AS i FROM pages)) WHERE letters <> ''),
         sizes AS (SELECT site, count(*) AS n FROM pages GROUP BY site),
         often AS (
-            SELECT l.site, letters FROM lines l JOIN sizes s ON l.site = s.site WHERE letters <> ''
-            GROUP BY l.site, letters, n HAVING count(DISTINCT id) >= 5 AND count(DISTINCT id) >= 0.2 * n)
-        SELECT id, line_no FROM lines JOIN often USING (site, letters)""",
+            SELECT l.site, letters FROM lines l JOIN sizes s ON l.site = s.site
+            GROUP BY l.site, letters, n HAVING count(DISTINCT id) >= 5 AND count(DISTINCT id) >= 0.2 * n)"""
+SQL: dict[str, str] = {
+    "p1_found": "SELECT id FROM crawl_documents WHERE length(content_text) > 4000",
+    "p2_found": f"WITH {_LINES} SELECT id, line_no FROM lines JOIN often USING (site, letters)",
+    # Blocks are enumerated over the lines that are frequent alone, as every line of a block is.
+    "p2_block_sizes": f"""WITH {_LINES},
+        marked AS (SELECT l.*, l.pos - row_number() OVER (PARTITION BY l.id ORDER BY l.pos) AS run FROM lines l JOIN often o ON l.site = o.site AND l.letters = o.letters),
+        runs AS (SELECT site, id, list(letters ORDER BY pos) AS ls FROM marked GROUP BY site, id, run),
+        blocks AS (SELECT DISTINCT site, id, ls[i:j] AS block FROM (SELECT *, unnest(range(i, least(len(ls), i + 63) + 1)) AS j FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM runs))),
+        spans AS (SELECT b.site, block, count(*) AS docs FROM blocks b JOIN sizes s ON s.site = b.site GROUP BY b.site, block, n HAVING count(*) >= 5 AND count(*) >= 0.2 * n)
+        SELECT site AS host, CAST(len(block) AS INTEGER) AS lines, docs, count(*) AS blocks FROM spans GROUP BY site, len(block), docs""",
 }
 
 

@@ -93,18 +93,31 @@ def test_repeated_lines_match_brute_force(spark):
     table = pages(spark, [(i, u, None, t, 200) for i, u, t in rows])
     found = {tuple(r) for r in repeated_lines.repeated_line_places(table).collect()}
     assert found == brute_repeated(rows) and found
-    clean = {r["id"]: r["clean_text"] for r in repeated_lines.remove_repeated_lines(table).collect()}
+    clean = {r["id"]: r["clean_text"] for r in repeated_lines.remove_repeated_lines(table, block_share=None).collect()}
     for i, _, text in rows:
         assert clean[i] == (None if text is None else "\n".join(x for k, x in enumerate(text.split("\n")) if (i, k + 1) not in found))
 
 
 def test_blocks_of_several_lines(spark):
-    table = pages(spark, [(i, f"https://a.example/{i}", None, f"own {'abcdefghij'[i]}\nfirst notice\nsecond notice\nthird notice", 200) for i in range(10)])
-    frequent = repeated_lines.frequent_lines(table)
-    blocks = {len(r["block"]): r["docs"] for r in repeated_lines.repeated_blocks(repeated_lines.host_lines(table), frequent).collect()}
+    table = pages(spark, [(i, f"https://a.example/{i}", None, f"own {'abcdefghij'[i]}\nfirst notice\n12\nsecond notice\nthird notice", 200) for i in range(10)])
+    blocks = {len(r["block"]): r["docs"] for r in repeated_lines.repeated_line_blocks(table).collect()}
     assert blocks == {1: 10, 2: 10, 3: 10}
 
 
+def test_blocks_are_removed_though_their_lines_be_rare_alone(spark):
+    letters = "abcdefghijklmnopqrstuvwxyzäöüéèáíóúñçßøåæœðþ"
+    rows = [(i, f"https://a.example/{i}", None, f"own {a}{b}\nalpha notice\nbeta notice\nend {b}{a}" if n < 8 else f"own {a}{b}\nalpha notice\nend {b}{a}", 200) for i, (n, a, b) in enumerate((k, x, y) for k, (x, y) in enumerate((x, y) for x in letters[:10] for y in letters[:10]))]
+    table = pages(spark, rows)
+    clean = {r["id"]: r["clean_text"] for r in repeated_lines.remove_repeated_lines(table, min_share=1.01).collect()}
+    assert all("notice" not in clean[i] for i in range(8)) and all("alpha notice" in clean[i] for i in range(8, 100))
+
+
+def test_suffixes_longer_than_their_depth_cover_all_lines(spark):
+    long = "\n".join(f"line {chr(0x4E00 + k)}" for k in range(150)) + "\nsame" * 3000
+    table = pages(spark, [(i, "https://a.example/x", None, long, 200) for i in range(6)])
+    assert repeated_lines.repeated_line_places(table).count() == 6 * 3150
+
+
 def edited(rng, found, share):
     return " ".join(rng.choice(["alpha", "beta", "gamma", w]) if rng.random() < share else w for w in found)
 
@@ -250,5 +263,5 @@ def test_blocks_count_documents(spark):
     table = pages(spark, [(i, "https://a.example/x", None, "\n".join(x), 200) for i, x in enumerate(letters)])
     want = Counter(b for x in letters for b in {tuple(x[i:j]) for i in range(len(x)) for j in range(i + 1, len(x) + 1)})
     name = {r["key"]: c for c in "abc" for r in spark.createDataFrame([(c,)], "c string").select(repeated_lines.line_key(F.col("c")).alias("key")).collect()}
-    found = {tuple(name[k] for k in r["block"]): r["docs"] for r in repeated_lines.repeated_line_blocks(table).collect()}
+    found = {tuple(name[k] for k in r["block"]): r["docs"] for r in repeated_lines.repeated_line_blocks(table, min_share=0).collect()}
     assert found == {b: n for b, n in want.items() if n >= 5}
