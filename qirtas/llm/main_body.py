@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from ..session import materialise
 from .common import map_batches
 from .lookalikes import clean_line
-from .template_residue import line_evidence
 
 #: Blocks in a window, and the words a window must hold for a surge.
 WINDOW, SURGE = 3, 8
@@ -180,8 +179,6 @@ def own_classes(text: str, raw: str | None) -> tuple[list[int], list[int], list[
                 kind = BODY
             elif not key or _MARKED.match(line):
                 kind = BODY
-        if kind != BODY and len(bare) < 400 and line_evidence(clean_line(bare)):
-            kind = BODY  # a message or filler in place of content is the body of its page
         # A line of a list, a table or with digits and punctuation isn't an entry of a side box.
         size = len(bare.split())
         if kind == UNKNOWN and (size > 9 or re.search(r"[.:؟?!=]|\d", bare)):

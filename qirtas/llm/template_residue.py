@@ -1,52 +1,33 @@
 """Error pages, script notices, filler and unfilled fields in place of content (problem 7).
 
-Normalised lines are counted by host; those that recur on many of its pages are boilerplate and no content. An unfilled field
-anywhere is evidence by itself; messages, notices and filler, however often they recur, are evidence only where nothing but a
-heading or boilerplate stands beside them, so that pages which talk about errors stay.
+Normalised lines are counted by host; those that recur on many of its pages are boilerplate and are subtracted. What a page
+without content says is learned from the residuals of the whole table: words and pairs of words that stand, over all hosts, in
+short residuals far more often than in long ones are evidence, as messages, notices and filler recur where nothing else is said;
+the HTTP status is a weak label beside it. A page is flagged if its residual is evidence but for a heading. An unfilled field
+anywhere is evidence by itself.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
-from functools import lru_cache
+from collections import Counter
 
+import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
 from .common import host, map_batches
 from .lookalikes import clean_line
-from .repeated_lines import frequent_lines, line_key
 
 #: A boilerplate line recurs on this share of its host's pages, and on so many of them.
 MIN_ROWS, MIN_SHARE = 5, 0.05
+#: A residual of fewer words is short. A word is evidence from this share of all short residuals on, and from so many of them.
+SHORT, EVIDENCE_SHARE, EVIDENCE_ROWS = 40, 0.001, 2
+#: Pseudo-counts of the odds of a word, the score of a word without odds, and the mean score from which a line is evidence.
+PRIOR, UNKNOWN, LEAST = 2.0, -0.3, 0.4
 
-# Phrases of error, access, maintenance and session messages.
-MESSAGES = """
-عذرا|نأسف|تنبيه|حدث خطأ|حدث خطأ ما|لم ينجح التحميل|تعذر إكمال طلبك|تعذر تحميل الصفحة|خطأ|خطأ داخلي في الخادم
-الصفحة المطلوبة غير موجودة|الصفحة غير موجودة|لم يتم العثور على الصفحة|الرابط الذي اتبعته لم يعد صالحا|لا يمكن الوصول إلى المحتوى حاليا
-ليست لديك صلاحية لعرض هذا المورد|غير مصرح لك بالدخول|تم رفض الوصول|تم حظر الطلب لأسباب أمنية|عدد الزيارات تجاوز الحد المسموح
-الخادم لا يستجيب الآن|الخدمة متوقفة للصيانة|الخدمة غير متاحة حاليا|الموقع تحت الصيانة|انتهت الجلسة ويلزم تسجيل الدخول|انتهت صلاحية الجلسة|يرجى تسجيل الدخول
-حاول مرة أخرى بعد قليل|عد إلى الصفحة السابقة|تحقق من العنوان|تواصل مع مدير الموقع|سنعود قريبا|أثبت أنك لست روبوتا|رمز التتبع|رمز الخطأ
-sorry|oops|notice|error|warning|something went wrong|an error occurred|we could not finish your request|loading failed|page not found|not found|access denied|forbidden|bad gateway|internal server error|service unavailable
-the page you asked for does not exist|the link you followed is no longer valid|this content cannot be reached right now|you do not have permission to view this resource
-the request was blocked for security reasons|too many requests were made|the upstream server gave no answer|the server is not responding|the service is down for maintenance|your session has ended please sign in|your session has expired
-please try again later|try again later|go back to the previous page|check the address|contact the site administrator|we will be back soon|prove that you are not a robot|trace id|error code
-"""
-# Phrases of filler.
-FILLER = """
-نص تجريبي لملء المساحة|مثال على شكل الفقرة|كلام وهمي لاختبار التصميم|يستبدل هذا النص بالنص النهائي|فقرة مؤقتة حتى يصل المحتوى|هنا يوضع عنوان فرعي|سطر بديل يحذف لاحقا|نص بديل|هذا النص مثال لنص يمكن أن يستبدل
-sample text to fill the space|this text will be replaced|placeholder text|dummy text|your text here|text goes here|a heading goes here|temporary paragraph until the content arrives|replacement line to be removed later|made up words to test the layout|an example of how a paragraph looks|lorem ipsum dolor sit amet
-"""
-# Words of notices that scripts are needed.
-SCRIPT = "javascript جافاسكربت الجافاسكربت جافاسكريبت الجافاسكريبت script scripts scripting سكربت السكربت النصية البرمجية النصوص البرامج"
-NOTICE = """
-يتطلب عرض هذه الصفحة لا يمكن متابعة التصفح دون يعتمد هذا الموقع على لن تظهر المحتويات قبل لإكمال التحميل يلزم جار تحميل التطبيق إن طال الانتظار فجرب يرجى الرجاء يجب عليك
-تفعيل تشغيل تمكين السماح بالبرامج بالنصوص إيقاف مانع في من إعدادات متصفحك المتصفح لهذا النطاق والمحاولة مجددا ثم إعادة أعد إعدادات هذا الموقع يعمل بدون
-you need to please must enable allow turn on switch run activate this site page app works only with needs requires nothing is shown unless see the your in settings browser for domain and try again then reload of
-without cannot continue be displayed content loading if it takes long blocker off disable stop a while loads will not load after before complete depends
-"""
 # Syllables of Latin filler.
 SYLLABLES = frozenset("adipiscing consectetur dolor lorem ipsum amet elit sed lor rem ip sum do am et sit con sec te tur ad pis ci eiu smod tem por in ut la bo re mag na al qui nos mco ul ve ni nia lo no li au um".split())
 _LONGEST = max(map(len, SYLLABLES))
@@ -68,88 +49,148 @@ _FIELD = re.compile(
     re.M,
 )
 _WORDS = re.compile(r"[^\W\d_]+")
-_DIGITS = re.compile(r"[\d\W_]+")
 
 
-def _phrases(text: str) -> re.Pattern:
-    found = sorted((" ".join(_WORDS.findall(p.lower())) for p in re.split(r"[|\n]", text) if p.strip()), key=len, reverse=True)
-    return re.compile(r"(?<!\S)(?:" + "|".join(map(re.escape, found)) + r")(?!\S)")
+def is_filler(found: list[str]) -> bool:
+    """True for a line in the syllables of Latin filler."""
+    return len(found) >= 4 and sum(map(latin_filler, found)) >= 0.85 * len(found)
 
 
-_MESSAGE_RE, _FILLER_RE = _phrases(MESSAGES), _phrases(FILLER)
-_SCRIPT, _NOTICE = frozenset(SCRIPT.split()), frozenset((NOTICE + SCRIPT).lower().split())
+def grams(found: list[str]) -> list[str]:
+    """Words and pairs of neighbours."""
+    return found + [f"{a} {b}" for a, b in zip(found, found[1:])]
 
 
-def line_evidence(line: str) -> str | None:
-    """What the whole of a line is: "error", "filler" or "script"; "code" for a bare status code; None for anything else."""
-    found = _WORDS.findall(line.lower())
-    if not found:
-        return "code" if re.fullmatch(r"\W*[1-5]\d\d\W*", line) else None
-    text = " ".join(found)
-    for kind, pattern in (("error", _MESSAGE_RE), ("filler", _FILLER_RE)):
-        rest = pattern.sub(" ", text)
-        if rest is not text and len(rest.split()) <= 0.2 * len(found):
-            return kind
-    if len(found) <= 24 and not _SCRIPT.isdisjoint(found) and sum(w in _NOTICE for w in found) >= 0.9 * len(found):
-        return "script"
-    if len(found) >= 4 and text.isascii() and sum(map(latin_filler, found)) >= 0.85 * len(found):
-        return "filler"
-    return None
+class Evidence:
+    """Log odds of words and pairs to stand in short residuals, learned from counts (gram -> (in short ones, in all))."""
 
+    def __init__(self, counts: dict[str, tuple[int, int]], short: int, residuals: int, bad_short: int = 0, bad: int = 0):
+        base = (short + 1) / (residuals + 2)
+        odds = lambda yes, no: (yes + PRIOR * base) / (no + PRIOR * (1 - base)) / (base / (1 - base))
+        self.scores = {g: float(np.log(odds(t, n - t))) for g, (t, n) in counts.items()}
+        #: What a bad status adds to each line of a short residual.
+        rate_short, rate = (bad_short + 1) / (short + 20), (bad - bad_short + 1) / (residuals - short + 20)
+        self.bonus = float(min(max(np.log(rate_short / rate), 0.0), 0.5))
 
-@lru_cache(1 << 15)
-def _recurrent_evidence(line: str) -> str | None:
-    return line_evidence(clean_line(line))
+    def score(self, found: list[str]) -> float:
+        """Mean over the words and pairs of a line; 0 for none."""
+        get, all_ = self.scores.get, grams(found)
+        return sum(get(g, UNKNOWN) for g in all_) / len(all_) if all_ else 0.0
 
 
-def judge(lines: list[str], recurrent: Sequence[bool] | None = None) -> str | None:
-    """Why a page has no content: "field", "error", "script" or "filler"; None if it has.
+def judge(lines: list[str], evidence: Evidence, bad: bool = False) -> str | None:
+    """Why a residual is no content: "message" or "filler"; None if it is content or nothing.
 
-    recurrent: which lines are boilerplate of the host; they are evidence as any other line, but never content.
+    The first line that is no evidence may be the heading; more of such words than of evidence are content.
     """
-    text = "\n".join(lines)
-    if _FIELD.search(text):
-        return "field"
-    kinds, content = [], 0
-    for line, often in zip(lines, recurrent or [False] * len(lines)):
-        if often:
-            if kind := _recurrent_evidence(line):
-                kinds.append(kind)
-            continue
-        line = clean_line(line)
-        kind = line_evidence(line)
+    found = [w for line in lines if (w := _WORDS.findall(line.lower()))]
+    bonus = evidence.bonus if bad and sum(map(len, found)) < SHORT else 0.0
+    kinds: Counter[str] = Counter()
+    other = []
+    for w in found:
+        score = evidence.score(w)
+        kind = "filler" if is_filler(w) else "message" if score >= LEAST or (score > 0 and score + bonus >= LEAST) else None
         if kind:
-            kinds.append(kind)
-        elif len(_WORDS.findall(line)) > 8 or re.search(r"[.؟?!:]\s*\S|^\s*(?:[•‣▪◦*+\-|]|\d+[.)])", line.strip()):
-            content += 1
-    said = [k for k in kinds if k != "code"]
-    if not said:
+            kinds[kind] += len(w)
+        else:
+            other.append(len(w))
+    if not kinds or sum(other[1:]) >= sum(kinds.values()):
         return None
-    worst = max(("error", "script", "filler"), key=said.count)
-    return worst if content == 0 or len(said) > max(1, 2 * content) else None
-
-
-def template_residue(df: DataFrame, id_col: str = "id", url_col: str = "url", text_col: str = "content_text", min_rows: int = MIN_ROWS, min_share: float = MIN_SHARE) -> DataFrame:
-    """(id, reason) of the rows that hold a message, a notice, filler or an unfilled field; `http_status` is not trusted.
-
-    Null and empty texts give nothing, as there is no text that stands in place of content. Rows without a host have no
-    boilerplate. Repeated rows come out as often as they occur; other columns are ignored.
+    return kinds.most_common(1)[0][0]
+
+
+class Residuals:
+    """The residual lines of a table's pages and the evidence learned from them. The table is read once."""
+
+    def __init__(self, df: DataFrame, id_col: str = "id", url_col: str = "url", text_col: str = "content_text", status_col: str = "http_status", min_rows: int = MIN_ROWS, min_share: float = MIN_SHARE):
+        status = F.col(status_col).cast("int") if status_col in df.columns else F.lit(None).cast("int")
+        docs = df.select(F.col(id_col).alias("id"), F.xxhash64(host(F.col(url_col))).alias("hash"), host(F.col(url_col)).alias("host"), (status.isNotNull() & ((status < 200) | (status >= 400))).alias("bad"), F.col(text_col).alias("text")).where("text is not null")
+        docs = docs.select("id", F.when(F.col("host").isNotNull(), F.col("hash")).alias("site"), "bad", "text")
+        self.id_type = docs.schema["id"].dataType.simpleString()
+
+        def make():
+            def step(batch):
+                fields, lines, keys, sizes = [], [], [], []
+                for text in batch.column(3).to_pylist():
+                    shown = [clean_line(x) for x in text.split("\n") if x.strip()]
+                    found = [_WORDS.findall(x.lower()) for x in shown]
+                    fields.append(bool(_FIELD.search(text))), lines.append(shown), sizes.append(list(map(len, found)))
+                    keys.append([xxhash.xxh3_64_intdigest("".join(w)) - 2**63 if w else None for w in found])
+                return batch.column(0), batch.column(1), batch.column(2), fields, lines, keys, sizes
+
+            return step
+
+        pages = materialise(map_batches(docs, make, f"id {self.id_type}, site bigint, bad boolean, field boolean, lines array<string>, keys array<bigint>, sizes array<int>", rows=500), "page-residue-lines")
+        placed = pages.where("site is not null")
+        # The null key stands for the page itself; counted before the shuffle, so a hot host costs its distinct lines.
+        counted = placed.select("site", F.explode(F.array_union(F.array(F.lit(None).cast("long")), F.filter("keys", lambda k: k.isNotNull()))).alias("key")).groupBy("site", "key").agg(F.count("*").alias("n"))
+        rows = counted.where("key is null").select("site", F.col("n").alias("rows"))
+        often = counted.where(F.col("key").isNotNull() & (F.col("n") >= min_rows)).join(rows, "site").where(F.col("n") >= F.lit(min_share) * F.col("rows"))
+        often = materialise(often.groupBy("site").agg(F.collect_list("key").alias("often")), "recurrent-lines")
+        marked = pages.join(often, "site", "left").withColumn("recurrent", F.coalesce(F.array_intersect("keys", "often"), F.array().cast("array<bigint>")))
+        rest = F.filter(F.arrays_zip("lines", "keys", "sizes"), lambda x: x["keys"].isNotNull() & ~F.array_contains("recurrent", x["keys"]))
+        kept = marked.select("id", "bad", "field", rest.alias("rest")).select("id", "bad", "field", F.col("rest.lines").alias("lines"), F.aggregate("rest.sizes", F.lit(0), lambda s, n: s + n).alias("words"))
+        self.residuals = materialise(kept, "residuals")
+        self._evidence: Evidence | None = None
+
+    def evidence(self) -> Evidence:
+        """Learned from all residuals. It holds the words of at least EVIDENCE_SHARE of the short residuals: at most the mean number
+        of different words and pairs of a short residual, which is below 2 x SHORT, divided by that share, in any table."""
+        if self._evidence is None:
+            some = self.residuals.where("words > 0")
+            short = F.col("words") < SHORT
+            total = some.agg(F.count("*"), F.count_if(short), F.count_if("bad"), F.count_if(F.col("bad") & short)).first()
+            least = max(EVIDENCE_ROWS, int(np.ceil(EVIDENCE_SHARE * total[1])))
+            frequent = self._counts(some.where(short), None).where(F.col("n") >= least).collect()
+            known = {r["gram"]: r["n"] for r in frequent}
+            everywhere = {r["gram"]: r["n"] for r in self._counts(some, known).collect()} if known else {}
+            self._evidence = Evidence({g: (n, everywhere[g]) for g, n in known.items()}, total[1], total[0], total[3], total[2])
+        return self._evidence
+
+    @staticmethod
+    def _counts(residuals: DataFrame, known: dict[str, int] | None) -> DataFrame:
+        """(gram, n): residuals with each word and pair, added up in each task first; of the known ones only, if given."""
+        sent = residuals.sparkSession.sparkContext.broadcast(None if known is None else frozenset(known))
+
+        def run(batches):
+            import pyarrow as pa
+
+            wanted, counts = sent.value, Counter()
+            for batch in batches:
+                for lines in batch.column(0).to_pylist():
+                    own = set()
+                    for line in lines:
+                        found = _WORDS.findall(line.lower())
+                        own.update(found)
+                        # A pair can be frequent only if both of its words are.
+                        own.update(f"{a} {b}" for a, b in zip(found, found[1:]) if wanted is None or (a in wanted and b in wanted))
+                    counts.update(own if wanted is None else own & wanted)
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["gram", "n"])
+
+        return residuals.select("lines").mapInArrow(run, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+
+    def flagged(self) -> DataFrame:
+        sent = self.residuals.sparkSession.sparkContext.broadcast(self.evidence())
+
+        def make():
+            def step(batch):
+                ids, reasons = [], []
+                for i, bad, field, lines in zip(*(c.to_pylist() for c in batch.columns)):
+                    if why := "field" if field else judge(lines, sent.value, bad):
+                        ids.append(i), reasons.append(why)
+                return ids, reasons
+
+            return step
+
+        return map_batches(self.residuals.select("id", "bad", "field", "lines"), make, f"id {self.id_type}, reason string")
+
+
+def template_residue(df: DataFrame, id_col: str = "id", url_col: str = "url", text_col: str = "content_text", status_col: str = "http_status", min_rows: int = MIN_ROWS, min_share: float = MIN_SHARE) -> DataFrame:
+    """(id, reason) of the rows that hold a message, a notice, filler or an unfilled field.
+
+    `http_status` only tips the scales of short residuals; without the column, or where it is null, it says nothing. Null and
+    empty texts give nothing, as there is no text that stands in place of content. Rows without a host have no boilerplate.
+    Repeated rows come out as often as they occur; other columns are ignored. A message must recur: what two rows at least say
+    can be learned, a message that occurs once in the table is not found unless it is made of words of others.
     """
-    docs = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(text_col).alias("content_text")).where("content_text is not null")
-    often = materialise(frequent_lines(docs, min_rows, min_share).groupBy("site").agg(F.collect_set("key").alias("often")), "recurrent-lines")
-    joined = docs.withColumn("site", F.xxhash64(host(F.col("url")))).join(often, "site", "left")
-    marked = joined.select("id", F.filter(F.split("content_text", "\n"), lambda x: F.trim(x) != "").alias("lines"), "often")
-    known = F.transform("lines", lambda x: F.coalesce(F.array_contains("often", line_key(x)), F.lit(False)))
-    ready = marked.select("id", "lines", F.when(F.col("often").isNotNull(), known).alias("recurrent"))
-
-    def make():
-        def step(batch):
-            ids, reasons = [], []
-            for i, lines, recurrent in zip(*(c.to_pylist() for c in batch.columns)):
-                if why := judge(lines, recurrent):
-                    ids.append(i), reasons.append(why)
-            return ids, reasons
-
-        return step
-
-    return map_batches(ready, make, f"id {ready.schema['id'].dataType.simpleString()}, reason string")
+    return Residuals(df, id_col, url_col, text_col, status_col, min_rows, min_share).flagged()

@@ -173,16 +173,21 @@ def test_formula_marks_take_linear_time():
 
 
 # ---- template residue
-@pytest.mark.parametrize(
-    "text, why",
-    [
-        ("404\nSorry\nthe page you asked for does not exist", "error"), ("عذرا، الصفحة المطلوبة غير موجودة، سنعود قريبا", "error"), ("To see this page you must enable JavaScript!", "script"), ("Lorem ipsum dolor sit amet elit.\nSed do lorem ipsum sit amet.", "filler"),
-        ("الرسم: {{ fee_owner }}", "field"), ("[اسم الخدمة] للسكان", "field"), ("fee: undefined", "field"), ("Pay [INSERT FEE HERE] units", "field"),
-        ("إذا ظهرت رسالة الخطأ 404 أثناء الطلب فأعد المحاولة بعد دقيقة من مكتب الاستقبال في البلدة.", None), ("Some browsers ask for JavaScript before you issue the licence of the town.", None), ("{{box|fee=3}} \\textbf{x} [1] [text](url)", None), ("A permit.", None), ("", None),
-    ],
-)
-def test_pages_without_content(text, why):
-    assert template_residue.judge([x for x in text.split("\n") if x]) == why
+@pytest.mark.parametrize("text", ["الرسم: {{ fee_owner }}", "[اسم الخدمة] للسكان", "fee: undefined", "Pay [INSERT FEE HERE] units", "phone: null", "at %CITY_NAME% now"])
+def test_unfilled_fields(text):
+    assert template_residue._FIELD.search(text)
+
+
+@pytest.mark.parametrize("text", ["{{box|fee=3}} \\textbf{x} [1] [text](url)", "A permit.", "", "none of them", "the null hypothesis"])
+def test_no_fields(text):
+    assert not template_residue._FIELD.search(text)
+
+
+def test_evidence_is_weighed_against_content():
+    known = template_residue.Evidence({"page": (9, 10), "not": (9, 9), "found": (9, 9), "page not": (9, 9), "not found": (9, 9), "market": (1, 300), "of": (5, 500)}, 20, 1000)
+    assert template_residue.judge(["Permit", "page not found"], known) == "message"
+    assert template_residue.judge(["page not found", "Permit", "of market of market of market of market"], known) is None
+    assert template_residue.judge(["Permit"], known) is None and template_residue.judge([], known) is None
 
 
 # ---- leakage, language
@@ -228,6 +233,6 @@ def test_wrong_labels_do_not_spoil_the_models():
 def test_very_long_texts(unit):
     text = unit * (60_000 // len(unit))
     began = time.time()
-    markup.clean_text(text), lookalikes.clean_text(text), splitting.split_text(text), template_residue.judge(text.split("\n")), main_body.own_classes(text, text), leakage.fold_words(text)
+    markup.clean_text(text), lookalikes.clean_text(text), splitting.split_text(text), template_residue.judge(text.split("\n"), template_residue.Evidence({}, 0, 0)), main_body.own_classes(text, text), leakage.fold_words(text)
     assert time.time() - began < 30
     assert unicodedata.normalize("NFC", text[:3]) is not None
