@@ -1,16 +1,18 @@
 """Main body of web pages by line-block distribution (problem 5).
 
-Markup is stripped to a sequence of text blocks, each with an effective length: its words, or nothing for link lists,
-furniture elements and blocks outside the element that holds the page's heading. Lengths are summed over sliding windows;
-the body lies between the first surge and the last dive of these sums. The lines of the extracted text are then weighed the
-same way: lines of the page's own body count, lines of its furniture don't, and a line the page's markup doesn't show is
-weighed by what the markup of all other pages says about the same line.
+Markup is stripped to a sequence of text blocks. Text lengths are summed over sliding windows of blocks; between the first and
+the last peak of these sums, the surge and the dive, lies main text. Over all pages this tells how often blocks at one place of
+a template lie there, and so how much a word counts at each place: next to nothing where no page has main text around. The
+windows are then summed again over these effective lengths, and the body lies between their surge and their dive, without the
+blocks that are silent themselves. The lines of the extracted text follow the blocks of their page that show them; a line that
+the page's markup doesn't show is weighed by what the markup of all other pages says about the same line.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 
 import numpy as np
 import xxhash
@@ -21,8 +23,14 @@ from ..session import materialise
 from .common import map_batches
 from .lookalikes import clean_line
 
-#: Blocks in a window, and the words a window must hold for a surge.
-WINDOW, SURGE = 3, 8
+#: Blocks in a window; words a window must hold for a surge, and a block not to be silent.
+WINDOW, SURGE, SILENT = 3, 8, 0.4
+#: Characters that count as a word at least, where a block has no spaces.
+LONG_WORD = 12
+#: A window is a peak with so many words and this share of the page's fullest window, where its middle block is the longest.
+PEAK, PEAK_SHARE = 20, 1 / 3
+#: Places of templates with this share of all blocks have a weight of their own, so there are at most 1 / PLACE_SHARE; others weigh 0.5.
+PLACE_SHARE = 1e-5
 #: A line counts as furniture of other pages from so many pages on, and with such a share of all pages that show it.
 MIN_PAGES, MIN_FURNITURE = 2, 0.8
 #: The same for the first two words of a line, which decide where nothing is known of the whole line.
@@ -32,12 +40,11 @@ _TAG = re.compile(r"<!--.*?-->|<(script|style|template)\b.*?</\1\s*>|<(/?)([a-zA
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*[\"']?([^\"'>]*)", re.I)
 _BLOCKS = frozenset("html head body title p div li ul ol dl dt dd h1 h2 h3 h4 h5 h6 table tr nav header footer aside section article main noscript form br hr pre blockquote".split())
 _VOID = frozenset("br hr img input meta link".split())
-_FURNITURE_TAGS = frozenset("nav header footer aside noscript form button title head".split())
-_FURNITURE_NAMES = re.compile(r"(?:^|[\s_-])(?:nav|menu|top|topbar|bar|side|sidebar|related|footer|bottom|cookie|consent|legal|meta|share|social|note|by|byline|breadcrumb|crumbs|tools|rating|newsletter|banner|promo)(?:$|[\s_-])", re.I)
 _LINKS = re.compile(r"[·›»]|\s\|\s")
 _LETTERS = re.compile(r"[\W\d_]+")
 _MARKUP = re.compile(r"<[^<>]{1,80}>|\\[a-zA-Z]+\*?|[\[\]{}*=~`#|]")
 _MARKED = re.compile(r"\s*(?:[•‣▪◦*+\-#:;>|]|\d+[.)]|<|\\|\{|=|```)")
+_TITLE = re.compile(r"<title[^>]*>(.*?)</title>", re.S | re.I)
 
 
 def letters_of(text: str) -> str:
@@ -55,22 +62,25 @@ def line_key(text: str) -> int:
 
 
 def opening_key(text: str) -> int:
-    """Identifier of the first two words of a line of 3 to 24 words; 0 for other lines."""
-    found = text.split()
-    return key_of("^" + letters_of(" ".join(found[:2]))) if 3 <= len(found) <= 24 else 0
+    """Identifier of the first two words of a line of three words and more; 0 for other lines."""
+    found = text.split(None, 3)
+    return key_of("^" + letters_of(" ".join(found[:2]))) if len(found) >= 3 else 0
 
 
-def raw_blocks(raw: str) -> list[tuple[str, bool, bool, int]]:
-    """(text, in a furniture element, heading, element) of each text block; element numbers tell the enclosing elements."""
-    blocks, stack, text, pos, serial = [], [], [], 0, 0
+def is_link_list(text: str) -> bool:
+    """True for entries between separators; a row of a pipe table is none."""
+    return bool(_LINKS.search(text)) and not text.lstrip().startswith("|")
+
+
+def raw_blocks(raw: str) -> list[tuple[str, str]]:
+    """(text, place) of each text block; the place is the chain of its elements, with their names."""
+    blocks, stack, text, pos = [], [], [], 0
 
     def flush():
         joined = html.unescape("".join(text)).strip()
         text.clear()
         if joined:
-            names = [s[0] for s in stack]
-            loose = "li" in names and not ({"ul", "ol"} & set(names))
-            blocks.append((joined, loose or any(s[1] for s in stack), "h1" in names, tuple(s[2] for s in stack)))
+            blocks.append((joined, "/".join([s[1] for s in stack])))
 
     for m in _TAG.finditer(raw):
         text.append(raw[pos : m.start()])
@@ -89,8 +99,7 @@ def raw_blocks(raw: str) -> list[tuple[str, bool, bool, int]]:
                     break
         elif name not in _VOID and (name in _BLOCKS or name in ("td", "th")) and not m[4].endswith("/"):
             found = _NAMES.search(m[4])
-            serial += 1
-            stack.append((name, name in _FURNITURE_TAGS or bool(found and _FURNITURE_NAMES.search(found[1])), serial))
+            stack.append((name, f"{name}.{found[1].strip().lower()}" if found else name))
     text.append(raw[pos:])
     flush()
     return blocks
@@ -103,88 +112,112 @@ def windows(lengths: np.ndarray, size: int = WINDOW) -> np.ndarray:
     return total[np.minimum(at + size // 2 + 1, len(lengths))] - total[np.maximum(at - size // 2, 0)]
 
 
-def body_of_markup(raw: str) -> tuple[set[int], set[int], str, str, set[int], set[int]]:
-    """Keys of body lines and of furniture lines of a page's markup, the letters of its whole body and furniture, and the
-    keys of the openings of body and furniture lines."""
-    blocks = raw_blocks(raw)
-    heading = next((b for b in blocks if b[2] and not b[1]), None)
-    inside = heading[3][-2] if heading and len(heading[3]) > 1 else None
-    lengths = np.zeros(len(blocks), dtype=np.int64)
-    for k, (text, furniture, is_heading, path) in enumerate(blocks):
-        links = _LINKS.search(text) and len(text) < 300 and not text.startswith("|")
-        if not furniture and not links and (inside is None or inside in path):
-            lengths[k] = len(text.split()) + (SURGE if is_heading else 0)
-    loud = np.flatnonzero((windows(lengths) >= SURGE) & (lengths > 0))
-    surge, dive = (loud[0], loud[-1]) if len(loud) else (0, len(blocks) - 1)
+def main_text(lengths: np.ndarray) -> np.ndarray | None:
+    """Which blocks lie between the first and the last peak of the window sums; None for a page without a peak."""
+    sums = windows(lengths)
+    if not len(sums) or sums.max() < PEAK:
+        return None
+    padded = np.r_[0, lengths, 0]
+    longest = np.maximum(padded[:-2], padded[2:]) <= lengths
+    peaks = np.flatnonzero((sums >= max(PEAK, PEAK_SHARE * sums.max())) & longest)
+    at = np.arange(len(lengths))
+    return (at >= peaks[0]) & (at <= peaks[-1]) if len(peaks) else None
+
+
+def body_blocks(lengths: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Which blocks are body: between surge and dive of the windows over effective lengths, and not silent."""
+    effective = lengths * weights
+    sounds = effective >= SILENT
+    loud = np.flatnonzero((windows(effective) >= SURGE) & sounds)
+    surge, dive = (loud[0], loud[-1]) if len(loud) else (0, len(lengths) - 1)
     # A short block next to the body, with nothing silent between, belongs to it.
-    while surge > 0 and lengths[surge - 1] > 0:
+    while surge > 0 and sounds[surge - 1]:
         surge -= 1
-    while dive + 1 < len(blocks) and lengths[dive + 1] > 0:
+    while dive + 1 < len(lengths) and sounds[dive + 1]:
         dive += 1
-    body, furniture, in_body, in_furniture, opens_body, opens_furniture = set(), set(), [], [], set(), set()
-    for k, (text, _, _, path) in enumerate(blocks):
-        parts = text.split("\n")
-        whole = letters_of(text)
-        if surge <= k <= dive and lengths[k] > 0:
-            body.add(key_of(whole))
-            if len(parts) > 1:
-                body.update(line_key(p) for p in parts)
-            in_body.append(whole)
-            opens_body.update(map(opening_key, parts))
-        else:
-            furniture.add(key_of(whole))
-            pieces = {p for line in parts for p in re.split(r"[·|]", line)} | set(parts)
-            if len(pieces) > 1:
-                furniture.update(line_key(p) for p in pieces)
-            in_furniture.append(whole)
-            opens_furniture.update(map(opening_key, pieces))
-    title = re.search(r"<title[^>]*>(.*?)</title>", raw, re.S | re.I)
-    if title:
-        body.add(line_key(html.unescape(title[1])))
-    for keys in (body, furniture, opens_body, opens_furniture):
-        keys.discard(0)
-    return body, furniture - body, "\n".join(in_body), "\n".join(in_furniture), opens_body, opens_furniture
+    at = np.arange(len(lengths))
+    return sounds & (at >= surge) & (at <= dive)
+
 
+BODY, FURNITURE, UNKNOWN, EMPTY, SHOWN = 1, 2, 0, 3, 4
 
-BODY, FURNITURE, UNKNOWN, EMPTY = 1, 2, 0, 3
 
+def read_page(text: str, raw: str | None) -> tuple[list, ...]:
+    """What later steps need of a page: (keys, sizes, kinds, openings, hits, parts) of the lines of its text, (places, lengths,
+    keys, openings) of its blocks, and the key of its title.
 
-def own_classes(text: str, raw: str | None) -> tuple[list[int], list[int], list[int], list[int], list[int], list[int], list[int], list[int]]:
-    """(keys, words, class, opening) of each line of the text by the page's own markup; keys of the markup's furniture and
-    body, and of their openings. Only lines of an unknown class have an opening other than 0."""
-    body, furniture, in_body, in_furniture, opens_body, opens_furniture = body_of_markup(raw) if raw else (set(), set(), "", "", set(), set())
-    keys, sizes, kinds, openings = [], [], [], []
+    A line of kind SHOWN has the numbers of the blocks that show it in hits; parts tells if it is but a part of them. Only lines
+    of an unknown kind have an opening. Main headings have no place of their own, as they stand before all main text.
+    """
+    blocks = raw_blocks(raw) if raw else []
+    lengths = np.array([0 if is_link_list(t) else max(len(t.split()), len(t) // LONG_WORD) for t, _ in blocks], dtype=np.int64)
+    places = [0 if p.rpartition("/")[2].partition(".")[0] == "h1" else xxhash.xxh3_64_intdigest(p) - 2**63 for _, p in blocks]
+    by_key: dict[int, list[int]] = {}
+    block_keys, block_openings, whole = [], [], []
+    for k, (shown, _) in enumerate(blocks):
+        letters = letters_of(shown)
+        pieces = {shown, *shown.split("\n")}
+        if is_link_list(shown):
+            pieces |= {p for line in shown.split("\n") for p in re.split(r"[·|]", line)}
+        keys = {key_of(letters), *(line_key(p) for p in pieces if p is not shown)} - {0}
+        for key in keys:
+            by_key.setdefault(key, []).append(k)
+        block_keys.append(list(keys)), block_openings.append(list({opening_key(p) for p in pieces} - {0})), whole.append(letters)
+    starts = np.cumsum([0] + [len(w) + 1 for w in whole]).tolist()
+    everything = "\n".join(whole)
+    keys, sizes, kinds, openings, hits, parts = [], [], [], [], [], []
     crumb = ""
     for line in text.split("\n"):
         if not line.strip():
-            keys.append(0), sizes.append(0), kinds.append(EMPTY), openings.append(0)
+            keys.append(0), sizes.append(0), kinds.append(EMPTY), openings.append(0), hits.append([]), parts.append(False)
             continue
         letters, bare = letters_of(line), line
         key = key_of(letters)
-        if key not in body and key not in furniture and _MARKUP.search(line):
+        if key not in by_key and _MARKUP.search(line):
             bare = _MARKUP.sub(" ", line)
             letters = letters_of(bare) or letters
             key = key_of(letters)
-        kind = BODY if key in body else FURNITURE if key in furniture else UNKNOWN
-        if kind == UNKNOWN and len(letters) > 8:
-            if letters in in_furniture:
-                kind = FURNITURE
-            elif letters in in_body:
-                kind = BODY
+        found, part = by_key.get(key, []), False
+        if not found and everything and letters and len(bare.split()) > 1:
+            at = everything.find(letters)
+            while at >= 0:
+                found = [*found, bisect_right(starts, at) - 1]
+                at = everything.find(letters, starts[found[-1] + 1])
+            part = bool(found)
+        kind = SHOWN if found else UNKNOWN
         if kind == UNKNOWN:
-            if _LINKS.search(line) and len(line) < 200 and not line.lstrip().startswith("|"):
+            if is_link_list(line):
                 kind = FURNITURE
                 crumb = re.split("[›»]", line)[-1] if re.search("[›»]", line) else crumb
-            elif crumb and line_key(crumb) == key:
+            elif (crumb and line_key(crumb) == key) or not key or _MARKED.match(line):
                 kind = BODY
-            elif not key or _MARKED.match(line):
-                kind = BODY
-        # A line of a list, a table or with digits and punctuation isn't an entry of a side box.
+        # A line with many words or with digits and punctuation isn't an entry of a side box.
         size = len(bare.split())
-        if kind == UNKNOWN and (size > 9 or re.search(r"[.:؟?!=]|\d", bare)):
+        if kind == UNKNOWN and re.search(r"[.:؟?!=]|\d", bare):
             size = max(size, SURGE)
-        keys.append(key), sizes.append(min(size, 2000)), kinds.append(kind), openings.append(opening_key(bare) if kind == UNKNOWN else 0)
-    return keys, sizes, kinds, openings, sorted(furniture), sorted(body), sorted(opens_furniture), sorted(opens_body)
+        keys.append(key), sizes.append(size), kinds.append(kind), openings.append(opening_key(bare) if kind == UNKNOWN else 0), hits.append(found), parts.append(part)
+    title = _TITLE.search(raw) if raw else None
+    return keys, sizes, kinds, openings, hits, parts, places, lengths.tolist(), block_keys, block_openings, line_key(html.unescape(title[1])) if title else 0
+
+
+def weigh_page(kinds, keys, hits, parts, lengths, weights, block_keys, block_openings, title) -> tuple[list, ...]:
+    """Final kinds of a page's lines by its own markup, and the keys and openings of its furniture and of its body."""
+    is_body = body_blocks(np.array(lengths, dtype=np.float64), np.array(weights)).tolist()
+    sets = [set(), set(), set(), set()]
+    for yes, ks, os in zip(is_body, block_keys, block_openings):
+        sets[yes].update(ks), sets[2 + yes].update(os)
+    if title:
+        sets[1].add(title)
+    out = []
+    for kind, key, at, part in zip(kinds, keys, hits, parts):
+        if key and key == title:
+            kind = BODY
+        elif kind == SHOWN:
+            said = [is_body[k] for k in at]
+            # Whole lines that stand in the body as well are body; a part of a line of furniture is furniture.
+            kind = BODY if (all(said) if part else any(said)) else FURNITURE
+        out.append(kind)
+    return out, sorted(sets[0] - sets[1]), sorted(sets[1]), sorted(sets[2]), sorted(sets[3])
 
 
 def furniture_lines(keys: list[int], sizes: list[int], kinds: list[int], openings: list[int], known: dict[int, bool]) -> list[int]:
@@ -216,21 +249,71 @@ class MainBody:
     """Body and furniture of a table of pages.
 
     Rows with a null text give nothing. Rows with null or empty markup rely on what other pages show. Empty lines are
-    neither; repeated rows give their lines once; other columns are ignored.
+    neither; repeated rows give their lines once; other columns are ignored. An empty table gives no rows.
     """
 
     def __init__(self, df: DataFrame, id_col: str = "id", raw_col: str = "content_raw", text_col: str = "content_text"):
         self.id_type = df.schema[id_col].dataType.simpleString()
         pages = df.select(F.col(id_col).alias("id"), F.col(raw_col).alias("raw"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
 
-        def make():
+        def read():
+            def step(batch):
+                rows = [read_page(t, r) for r, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+                return [batch.column(0), *([r[k] for r in rows] for k in range(11))] if rows else None
+
+            return step
+
+        lines = "keys array<bigint>, sizes array<int>, kinds array<int>, openings array<bigint>"
+        blocks = "places array<bigint>, lengths array<int>, block_keys array<array<bigint>>, block_openings array<array<bigint>>, title bigint"
+        self.read = materialise(map_batches(pages, read, f"id {self.id_type}, {lines}, hits array<array<int>>, parts array<boolean>, {blocks}", rows=500), "page-blocks")
+        sent = df.sparkSession.sparkContext.broadcast(self.place_weights())
+
+        def weigh():
+            get = sent.value.get
+
             def step(batch):
-                rows = [own_classes(t, r) for r, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-                return [batch.column(0), *([r[k] for r in rows] for k in range(8))] if rows else None
+                cols = {n: batch.column(n).to_pylist() for n in ("kinds", "keys", "hits", "parts", "places", "lengths", "block_keys", "block_openings", "title")}
+                rows = [weigh_page(k, ks, h, p, n, [get(x, 0.5) for x in at], bk, bo, t) for k, ks, h, p, at, n, bk, bo, t in zip(*cols.values())]
+                return [batch.column("id"), batch.column("keys"), batch.column("sizes"), [r[0] for r in rows], batch.column("openings"), *([r[k] for r in rows] for k in range(1, 5))] if rows else None
 
             return step
 
-        self.pages = materialise(map_batches(pages, make, f"id {self.id_type}, keys array<bigint>, sizes array<int>, kinds array<int>, openings array<bigint>, furniture array<bigint>, body array<bigint>, opens_furniture array<bigint>, opens_body array<bigint>", rows=500), "page-lines")
+        self.pages = materialise(map_batches(self.read, weigh, f"id {self.id_type}, {lines}, furniture array<bigint>, body array<bigint>, opens_furniture array<bigint>, opens_body array<bigint>", rows=500), "page-lines")
+
+    def place_weights(self, rounds: int = 2) -> dict[int, float]:
+        """How often the blocks of each frequent place lie in the main text of their page; at most 1 / PLACE_SHARE places.
+
+        The first round takes all words alike, each next one the words at the weights of the one before: a side box that is
+        the longest among its neighbours once is not again.
+        """
+        weights: dict[int, float] = {}
+        for k in range(rounds):
+            seen = self._places(None if k == 0 else weights)
+            total = seen.agg(F.sum("n")).first()[0] or 0
+            weights = {r["place"]: (r["inside"] + 0.5) / (r["n"] + 1) for r in seen.where(F.col("n") >= PLACE_SHARE * total).collect()}
+        return weights
+
+    def _places(self, weights: dict[int, float] | None) -> DataFrame:
+        """(place, n, inside): blocks of each place and how many lie in main text, on pages with a peak; added up in each task first."""
+        sent = self.read.sparkSession.sparkContext.broadcast(weights)
+
+        def run(batches):
+            import pyarrow as pa
+
+            known, counts = sent.value, {}
+            for batch in batches:
+                for places, lengths in zip(*(c.to_pylist() for c in batch.columns)):
+                    sizes = np.array(lengths, dtype=np.float64)
+                    within = main_text(sizes if known is None else sizes * [known.get(p, 0.5) for p in places])
+                    if within is not None:
+                        for p, yes in zip(places, within.tolist()):
+                            n = counts.setdefault(p, [0, 0])
+                            n[0] += 1
+                            n[1] += yes
+            counts.pop(0, None)
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), *(pa.array([n[k] for n in counts.values()], pa.int64()) for k in (0, 1))], names=["place", "n", "inside"])
+
+        return self.read.select("places", "lengths").where("size(places) > 0").mapInArrow(run, "place bigint, n bigint, inside bigint").groupBy("place").agg(F.sum("n").alias("n"), F.sum("inside").alias("inside"))
 
     def line_numbers(self) -> DataFrame:
         """(id, line_no) of every non-empty line that is not main body."""

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -220,16 +221,36 @@ def test_labels_and_paragraphs(spark):
     assert {tuple(r) for r in found.collect()} == {(200, "en"), (201, "tr"), (202, "en"), (202, "tr"), (205, "en")}
 
 
-def test_furniture_of_pages(spark):
-    raw = "<html><title>Permit {0}</title><body><nav><li>Home · News</li></nav><main><h1>Permit {0}</h1><p>" + BODY + "</p></main><div class='legal'>All rights kept</div><footer><p>Follow us</p></footer></body></html>"
-    text = "Home\nNews\nPermit {0}\nAll rights kept\n" + BODY + "\nFollow us"
-    rows = [(i, "https://a.example/x", raw.replace("{0}", "abcdefgh"[i]).replace("{}", "7") if i % 4 else None, text.replace("{0}", "abcdefgh"[i]).replace("{}", "7"), 200) for i in range(8)]
+def furniture_rows(classes=("side", "legal"), hide=4):
+    rng, side, legal = random.Random(8), *classes
+    raw = "<html><title>Permit {0}</title><body><nav><li>Home · News</li></nav><main><h1>Permit {0}</h1><p>{1}</p><ul><li>bring the form {0}</li></ul><p>{2}</p><div class='" + side + "'><li>Renew the {3} card</li><li>Cancel the {3} card</li></div><div class='" + legal + "'>All rights kept by the office</div></main><footer><p>Follow us</p></footer></body></html>"
+    text = "Home\nNews\nPermit {0}\nAll rights kept by the office\n{1}\nbring the form {0}\n{2}\nRenew the {3} card\nCancel the {3} card\nFollow us"
+    rows = []
+    for i in range(40):
+        words = f"{'abcdefghij'[i % 10]}{'klmn'[i // 10]}", *(BODY.format("xyzw"[rng.randrange(4)]) for _ in range(2)), "boat"
+        rows.append((i, "https://a.example/x", raw.format(*words) if i % hide else None, text.format(*words), 200))
+    return rows
+
+
+def furniture_of(spark, rows):
     found = defaultdict(list)
     for r in main_body.MainBody(pages(spark, rows)).line_numbers().collect():
         found[r["id"]].append(r["line_no"])
-    assert {i: sorted(v) for i, v in found.items()} == {i: [1, 2, 4, 6] for i in range(8)}
+    return {i: sorted(v) for i, v in found.items()}
+
+
+@pytest.mark.parametrize("classes", [("side", "legal"), ("zone-b", "x7")])
+def test_furniture_of_pages(spark, classes):
+    rows = furniture_rows(classes)
+    assert furniture_of(spark, rows) == {i: [1, 2, 4, 8, 9, 10] for i in range(40)}
     body = {r["id"]: r["body_text"] for r in main_body.main_body(pages(spark, rows)).collect()}
-    assert body[0] == "Permit a\n" + BODY.format(7)
+    assert body[1].split("\n")[0] == "Permit bk" and len(body[1].split("\n")) == 4
+
+
+def test_windows_decide_what_is_furniture(spark, monkeypatch):
+    monkeypatch.setattr(main_body, "windows", lambda lengths, size=3: np.full(len(lengths), 1000.0))
+    monkeypatch.setattr(main_body, "main_text", lambda lengths: np.full(len(lengths), True))
+    assert furniture_of(spark, furniture_rows()) != {i: [1, 2, 4, 8, 9, 10] for i in range(40)}
 
 
 PLACES = "harbour market valley bridge tower garden library museum station theatre airport hospital school castle forest island".split()

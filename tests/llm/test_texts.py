@@ -103,21 +103,35 @@ def test_the_form_is_stable(text):
 # ---- main body
 PAGE = """<html><head><title>Permit</title></head><body><nav><ul><li>Home</li><li>News</li></ul></nav><main><h1>Permit</h1>
 <p>The permit of the market is given after ten days by the office of the town.</p><ul><li>bring the form</li></ul></main>
-<div class="legal">Copyright 12 the office.</div><footer><p>Follow us</p></footer><script>var x="</p>"</script></body></html>"""
+<div class="zone-b">Copyright 12 the office.</div><footer><p>Follow us</p></footer><script>var x="</p>"</script></body></html>"""
+
+
+def weighed(text, raw, weight):
+    keys, sizes, kinds, openings, hits, parts, places, lengths, block_keys, block_openings, title = main_body.read_page(text, raw)
+    weights = [weight(p) for _, p in main_body.raw_blocks(raw or "")]
+    return keys, sizes, main_body.weigh_page(kinds, keys, hits, parts, lengths, weights, block_keys, block_openings, title)[0], openings
 
 
 def test_body_and_furniture_of_a_page():
     text = "Home\nNews\nPermit\nThe permit of the market is given after ten days by the office of the town.\n\nCopyright 99 the office.\nbring the form\nFollow us"
-    own = main_body.own_classes(text, PAGE)
-    assert main_body.furniture_lines(*own[:4], {}) == [1, 2, 6, 8]
+    own = weighed(text, PAGE, lambda place: 0.9 if "/main/" in place else 0.01)
+    assert main_body.furniture_lines(*own, {}) == [1, 2, 6, 8]
+
+
+def test_windows_find_the_main_text():
+    lengths = np.array([2, 2, 3, 30, 6, 7, 40, 5, 4, 3])
+    assert main_body.main_text(lengths).tolist() == [False] * 3 + [True] * 4 + [False] * 3
+    assert main_body.main_text(np.array([3, 2, 4])) is None and main_body.main_text(np.empty(0, dtype=int)) is None
+    # Words between surge and dive that count for nothing are silent; body words away from the windows are not body.
+    assert main_body.body_blocks(np.array([5, 30, 20, 30, 9, 1]), np.array([0.01, 0.8, 0.01, 0.8, 0.01, 0.8])).tolist() == [False, True, False, True, False, False]
 
 
 def test_a_page_without_markup_asks_the_others():
     text = "Permit\nThe permit of the market is given after ten days by the office of the town.\nFollow us"
-    own = main_body.own_classes(text, None)
-    assert main_body.furniture_lines(*own[:4], {main_body.line_key("follow us!"): True}) == [3]
+    own = weighed(text, None, None)
+    assert main_body.furniture_lines(*own, {main_body.line_key("follow us!"): True}) == [3]
     for raw in ("", "<", "<p", "no markup", "<html></html>"):
-        main_body.own_classes(text, raw)
+        main_body.read_page(text, raw)
 
 
 # ---- minimum cut, markup
@@ -233,6 +247,6 @@ def test_wrong_labels_do_not_spoil_the_models():
 def test_very_long_texts(unit):
     text = unit * (60_000 // len(unit))
     began = time.time()
-    markup.clean_text(text), lookalikes.clean_text(text), splitting.split_text(text), template_residue.judge(text.split("\n"), template_residue.Evidence({}, 0, 0)), main_body.own_classes(text, text), leakage.fold_words(text)
+    markup.clean_text(text), lookalikes.clean_text(text), splitting.split_text(text), template_residue.judge(text.split("\n"), template_residue.Evidence({}, 0, 0)), main_body.read_page(text, text), leakage.fold_words(text)
     assert time.time() - began < 30
     assert unicodedata.normalize("NFC", text[:3]) is not None
