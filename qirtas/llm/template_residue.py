@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import xxhash
@@ -33,6 +34,7 @@ SYLLABLES = frozenset("adipiscing consectetur dolor lorem ipsum amet elit sed lo
 _LONGEST = max(map(len, SYLLABLES))
 
 
+@lru_cache(1 << 15)
 def latin_filler(word: str) -> bool:
     """True if the word is made of the syllables of Latin filler."""
     reached = {0}
@@ -53,7 +55,15 @@ _WORDS = re.compile(r"[^\W\d_]+")
 
 def is_filler(found: list[str]) -> bool:
     """True for a line in the syllables of Latin filler."""
-    return len(found) >= 4 and sum(map(latin_filler, found)) >= 0.85 * len(found)
+    if len(found) < 4:
+        return False
+    allowed = 0.15 * len(found)
+    for w in found:
+        if not (w.isascii() and latin_filler(w)):
+            allowed -= 1
+            if allowed < 0:
+                return False
+    return True
 
 
 def grams(found: list[str]) -> list[str]:
@@ -68,12 +78,16 @@ class Evidence:
         base = (short + 1) / (residuals + 2)
         odds = lambda yes, no: (yes + PRIOR * base) / (no + PRIOR * (1 - base)) / (base / (1 - base))
         self.scores = {g: float(np.log(odds(t, n - t))) for g, (t, n) in counts.items()}
+        #: A line without one of these words has no word or pair with a positive score.
+        self.hot = frozenset(w for g, x in self.scores.items() if x > 0 for w in g.split())
         #: What a bad status adds to each line of a short residual.
         rate_short, rate = (bad_short + 1) / (short + 20), (bad - bad_short + 1) / (residuals - short + 20)
         self.bonus = float(min(max(np.log(rate_short / rate), 0.0), 0.5))
 
     def score(self, found: list[str]) -> float:
-        """Mean over the words and pairs of a line; 0 for none."""
+        """Mean over the words and pairs of a line; some value below 0 where no part is positive."""
+        if self.hot.isdisjoint(found):
+            return min(UNKNOWN, 0.0)
         get, all_ = self.scores.get, grams(found)
         return sum(get(g, UNKNOWN) for g in all_) / len(all_) if all_ else 0.0
 
@@ -86,17 +100,20 @@ def judge(lines: list[str], evidence: Evidence, bad: bool = False) -> str | None
     found = [w for line in lines if (w := _WORDS.findall(line.lower()))]
     bonus = evidence.bonus if bad and sum(map(len, found)) < SHORT else 0.0
     kinds: Counter[str] = Counter()
-    other = []
+    heading, other, left = True, 0, sum(map(len, found))
     for w in found:
         score = evidence.score(w)
-        kind = "filler" if is_filler(w) else "message" if score >= LEAST or (score > 0 and score + bonus >= LEAST) else None
+        kind = "message" if score >= LEAST or (score > 0 and score + bonus >= LEAST) else "filler" if is_filler(w) else None
+        left -= len(w)
         if kind:
             kinds[kind] += len(w)
+        elif heading:
+            heading = False
         else:
-            other.append(len(w))
-    if not kinds or sum(other[1:]) >= sum(kinds.values()):
-        return None
-    return kinds.most_common(1)[0][0]
+            other += len(w)
+        if other and other >= kinds.total() + left:
+            return None  # whatever the rest is
+    return kinds.most_common(1)[0][0] if kinds else None
 
 
 class Residuals:
