@@ -105,20 +105,38 @@ def context_prompt(context: Column, question: Column, limit: int = 3000) -> Colu
     return F.concat(F.lit("السياق:\n"), F.substring(context, 1, limit), F.lit("\n\nالسؤال:\n"), question)
 
 
+def teacher_prompt(context: Column, ask: str, limit: int = 3500, name: Column | None = None, question: Column | None = None) -> Column:
+    """What a teacher model is asked: the context, up to `limit` characters, with the file's name, a question if given, and the
+    task. The limits in use are 3500 for a pair from a file, 3000 for an answer, 2000 for a refusal, 800 and 1500 for short ones."""
+    head = F.concat(F.lit("CONTEXT FROM FILE ("), name, F.lit("):\n")) if name is not None else F.lit("CONTEXT:\n")
+    asked = [F.lit('\n\nUSER QUESTION:\n"'), question, F.lit('"')] if question is not None else []
+    return F.concat(head, F.substring(context, 1, limit), *asked, F.lit(f"\n\nINSTRUCTION:\n{ask}"))
+
+
 def chat_text(system: Column, user: Column, assistant: Column, eos: str = "<|im_end|>") -> Column:
     """System, user and assistant turns in the chat template, with the end-of-string token."""
     turn = lambda role, content: F.concat(F.lit(f"<|im_start|>{role}\n"), content, F.lit("<|im_end|>"))
     return F.concat(turn("system", system), F.lit("\n"), turn("user", user), F.lit("\n"), turn("assistant", assistant), F.lit(eos))
 
 
-def qfs_text(text: Column, summary: Column, eos: str = "<|im_end|>", instruction: str = "لخص النص التالي بما يجيب عن السؤال.") -> Column:
-    """Instruction, input and response sections, with the end-of-string token."""
-    return F.concat(F.lit(f"### Instruction:\n{instruction}\n\n### Input:\n"), text, F.lit("\n\n### Response:\n"), summary, F.lit(eos))
+# Opening and instruction of the summary template.
+QFS_OPENING = "Below is an instruction that describes a task, paired with an input that provides further context. Write a response that appropriately completes the request."
+QFS_INSTRUCTION = "You are a Query-Focused Summarization engine. Extract relevant information from the provided document to answer the user query. Output ONLY the summary. Do not use internal reasoning or conversational filler."
+
+
+def qfs_text(text: Column, summary: Column, eos: str = "<|im_end|>", instruction: str = QFS_INSTRUCTION, opening: str = QFS_OPENING) -> Column:
+    """Opening, instruction, input and response sections, with the end-of-string token."""
+    return F.concat(F.lit(f"{opening}\n\n### Instruction:\n{instruction}\n\n### Input:\n"), text, F.lit("\n\n### Response:\n"), summary, F.lit(eos))
 
 
 def sampled(key: Column, percent: int, seed: int = 0) -> Column:
-    """True for about `percent` of the keys, the same ones in every run."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(100)) < percent
+    """True for about `percent` of the keys, the same ones in every run and in any engine that has MD5."""
+    return F.pmod(digest(key, seed), F.lit(100)) < percent
+
+
+def digest(key: Column, seed: int = 0) -> Column:
+    """The first 32 bits of the MD5 of the key and the seed."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long")
 
 
 def elapsed(ms: Column) -> Column:

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Queries that are held in every task; larger query sets are searched in slices of this many.
-QUERY_BLOCK = 4096
+#: Queries that are held in a task, and vectors that are multiplied with them at once.
+QUERY_BLOCK, STEP = 4096, 2048
 
 
 def inner_product(a: Column, b: Column) -> Column:
@@ -35,48 +35,48 @@ def l2_normalize(a: Column) -> Column:
 def top_k_cosine(queries: DataFrame, vectors: DataFrame, k: int, decimals: int | None = 6) -> DataFrame:
     """(query_id, doc_id, score, rank): for each (query_id, embedding) the k nearest (doc_id, embedding).
 
-    A block of queries is multiplied with each batch of vectors; only a task's best k of each query leave it, so the shuffle
-    has queries x k x tasks rows. Ties go to the lower doc_id, on the rounded score. Null vectors are left out.
+    Queries and vectors meet in the cells of a grid: blocks of at most about QUERY_BLOCK queries times slices of the vectors,
+    one task a cell. Each vector goes once to each block of queries; a task multiplies matrices and gives its best k of each
+    query, so the last shuffle has queries x k x slices rows. Ties go to the lower doc_id, on the rounded score. Null vectors
+    are left out; an empty table on either side gives no rows.
     """
-    rows = queries.where("embedding is not null").select("query_id", "embedding").toLocalIterator()
-    blocks: list[list] = [[]]
-    for r in rows:
-        if len(blocks[-1]) == QUERY_BLOCK:
-            blocks.append([])
-        blocks[-1].append((r[0], r[1]))
-    parts = [_block(vectors.where("embedding is not null"), b, k, decimals) for b in blocks if b]
-    if not parts:
-        return queries.sparkSession.createDataFrame([], "query_id bigint, doc_id bigint, score double, rank int")
-    best = parts[0]
-    for p in parts[1:]:
-        best = best.unionByName(p)
+    spark = queries.sparkSession
+    q = queries.where("embedding is not null").select(F.col("query_id").cast("long"), F.col("embedding").cast("array<double>"))
+    blocks = -(-q.count() // QUERY_BLOCK) or 1
+    slices = max(1, spark.sparkContext.defaultParallelism // blocks, vectors.rdd.getNumPartitions() // 4)
+    cell = lambda block, part: (F.pmod(block, F.lit(blocks)) * slices + part).cast("int").alias("cell")
+    left = q.select(F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), "query_id", "embedding").select(cell(F.xxhash64("query_id"), F.col("slice")), "query_id", "embedding")
+    own = F.pmod(F.xxhash64("doc_id"), F.lit(slices))
+    right = vectors.where("embedding is not null").select(F.col("doc_id").cast("long"), F.col("embedding").cast("array<double>"))
+    right = right.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), own.alias("own"), "doc_id", "embedding").select(cell(F.col("block"), F.col("own")), "doc_id", "embedding")
+    best = left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(_cell(k, decimals), "query_id bigint, doc_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _block(vectors: DataFrame, block: list, k: int, decimals: int | None) -> DataFrame:
-    ids = np.array([b[0] for b in block], dtype=np.int64)
-    sent = vectors.sparkSession.sparkContext.broadcast((ids, _unit(np.array([b[1] for b in block], dtype=np.float64))))
-
-    def run(batches):
-        ids, matrix = sent.value
-        scores = np.full((len(ids), 0), 0.0)
-        docs = np.empty((len(ids), 0), dtype=np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            doc = batch.column(0).to_numpy(zero_copy_only=False)
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            s = matrix @ _unit(flat.reshape(len(doc), -1)).T
+def _cell(k: int, decimals: int | None):
+    names = ["query_id", "doc_id", "score"]
+
+    def matrix(column) -> np.ndarray:
+        return _unit(column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1))
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, docs = left.column("query_id").to_numpy(), right.column("doc_id").to_numpy()
+        if not len(ids) or not len(docs):
+            return pa.table({"query_id": pa.array([], pa.int64()), "doc_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        q = matrix(left.column("embedding"))
+        scores, found = np.empty((len(ids), 0)), np.empty((len(ids), 0), dtype=np.int64)
+        for low in range(0, len(docs), STEP):
+            part = slice(low, low + STEP)
+            s = q @ matrix(right.column("embedding").slice(low, STEP)).T
             s = np.round(s, decimals) if decimals is not None else s
-            scores, docs = np.concatenate([scores, s], 1), np.concatenate([docs, np.broadcast_to(doc, s.shape)], 1)
+            scores, found = np.concatenate([scores, s], 1), np.concatenate([found, np.broadcast_to(docs[part], s.shape)], 1)
             if scores.shape[1] > k:
-                keep = np.lexsort((docs, -scores), axis=1)[:, :k]
-                scores, docs = np.take_along_axis(scores, keep, 1), np.take_along_axis(docs, keep, 1)
-        if docs.size:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, docs.shape[1])), pa.array(docs.ravel()), pa.array(scores.ravel())], names=["query_id", "doc_id", "score"])
+                keep = np.lexsort((found, -scores), axis=1)[:, :k]
+                scores, found = np.take_along_axis(scores, keep, 1), np.take_along_axis(found, keep, 1)
+        return pa.table([pa.array(np.repeat(ids, found.shape[1])), pa.array(found.ravel()), pa.array(scores.ravel())], names=names)
 
-    return vectors.select(F.col("doc_id").cast("long"), "embedding").mapInArrow(run, "query_id bigint, doc_id bigint, score double")
+    return best
 
 
 def _unit(a: np.ndarray) -> np.ndarray:

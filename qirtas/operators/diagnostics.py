@@ -6,34 +6,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import NO_TITLE, title, tokenize
+from ..functions.text import NO_TITLE, occurrences, split_simple, title, tokenize
+from ..session import materialise
 from .index import Index
-from .retrieval import substring_counts
+from .retrieval import chunks_with
 
 
-def phrase_hits(docs: DataFrame, phrases: DataFrame) -> DataFrame:
+def phrase_hits(index: Index, phrases: DataFrame) -> DataFrame:
     """(phrase, doc_id, n): occurrences of each phrase as a substring of the lower-case text, where there are any.
 
-    The phrases are a stated set: each text is scanned once for all of them.
+    Only texts that hold each word of a phrase within a chunk are looked at.
     """
-    stated = [r[0] for r in phrases.where("phrase <> ''").select(F.lower("phrase").alias("phrase")).distinct().orderBy("phrase").collect()]
-    found = substring_counts(docs.select(F.col("id").alias("doc_id"), F.col("content_text").alias("content")), stated)
-    return found.withColumnRenamed("word", "phrase")
+    stated = phrases.select(F.lower("phrase").alias("phrase")).where("phrase <> ''").distinct()
+    words = stated.select("phrase", F.explode(F.array_distinct(split_simple(F.col("phrase")))).alias("word"))
+    sizes = words.groupBy("phrase").agg(F.count("*").alias("size"))
+    holds = index.chunks()[0].join(chunks_with(words, index).select("word", "chunk"), "chunk").select("word", "doc_id").distinct()
+    whole = words.join(holds, "word").groupBy("phrase", "doc_id").agg(F.count("*").alias("held")).join(sizes, "phrase").where("held = size").select("phrase", "doc_id")
+    texts = index.documents.select(F.col("id").alias("doc_id"), F.lower("content").alias("low"))
+    return whole.join(texts, "doc_id").select("phrase", "doc_id", occurrences(F.col("low"), F.col("phrase")).alias("n")).where("n > 0")
 
 
-def phrase_search(docs: DataFrame, phrases: DataFrame, most: int = 10) -> DataFrame:
+def phrase_search(index: Index, phrases: DataFrame, most: int = 10) -> DataFrame:
     """The first documents by id that hold each phrase."""
     order = Window.partitionBy("phrase").orderBy("doc_id")
-    return phrase_hits(docs, phrases).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("phrase", "doc_id", "rank")
+    return phrase_hits(index, phrases).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("phrase", "doc_id", "rank")
 
 
-def candidate_queries(docs: DataFrame, phrases: DataFrame, least: int = 2, top: int = 15, each: int = 5) -> DataFrame:
+def candidate_queries(index: Index, phrases: DataFrame, least: int = 2, top: int = 15, each: int = 5) -> DataFrame:
     """The phrases that most documents hold, `least` or more, with the documents that hold them most often."""
-    hits = phrase_hits(docs, phrases)
+    hits = materialise(phrase_hits(index, phrases), "phrase-hits")
     totals = hits.groupBy("phrase").agg(F.count("*").alias("matches")).where(F.col("matches") >= least).orderBy(F.desc("matches"), "phrase").limit(top)
     order = Window.partitionBy("phrase").orderBy(F.desc("n"), "doc_id")
     best = hits.join(totals, "phrase").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= each)
-    return best.join(docs.select(F.col("id").alias("doc_id"), title(F.col("content_text")).alias("title")), "doc_id").select("phrase", "matches", "rank", "doc_id", "n", "title")
+    return best.join(index.documents.select(F.col("id").alias("doc_id"), title(F.col("content")).alias("title")), "doc_id").select("phrase", "matches", "rank", "doc_id", "n", "title")
 
 
 def title_words(docs: DataFrame, top: int = 30, longer_than: int = 2) -> DataFrame:

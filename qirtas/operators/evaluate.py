@@ -53,8 +53,8 @@ def precision_ndcg(results: DataFrame, qrels: DataFrame, keys: tuple[str, ...] =
 
 
 def benchmark(per_query: DataFrame) -> DataFrame:
-    """Averages of metrics() for each engine."""
-    names = [f"hit_{k}" for k in CUTOFFS] + ["mrr"]
+    """Averages of metrics() for each engine, and of `time_ms` where it is there."""
+    names = [f"hit_{k}" for k in CUTOFFS] + ["mrr"] + (["time_ms"] if "time_ms" in per_query.columns else [])
     return per_query.groupBy("engine").agg(F.count("*").alias("queries"), *(F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(c) for c in names))
 
 

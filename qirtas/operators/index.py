@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import tokenize
+from ..functions.text import split_simple, tokenize
 from ..session import materialise
 from ..sources.tables import successful
 
@@ -22,6 +22,31 @@ class Index:
     doc_stats: DataFrame  # doc_id, doc_len
     term_stats: DataFrame  # term, df, idf
     corpus_stats: DataFrame  # n_docs, avg_doc_len
+    _kept: dict = field(default_factory=dict, repr=False, compare=False)
+
+    def chunks(self) -> tuple[DataFrame, DataFrame]:
+        """(doc_id, chunk, tf) and (gram, chunk): what stands between white space in the lower-case texts, and the substrings of
+        one to GRAM characters of each different chunk. Written at the first substring search."""
+        if not self._kept:
+            words = self.documents.select(F.col("id").alias("doc_id"), F.explode(split_simple(F.col("content"))).alias("chunk"))
+            held = materialise(words.groupBy("doc_id", "chunk").agg(F.count("*").alias("tf")), "chunks")
+            self._kept["chunks"] = held
+            self._kept["grams"] = materialise(held.select("chunk").distinct().select(F.explode(grams(F.col("chunk"))).alias("gram"), "chunk"), "chunk-grams")
+        return self._kept["chunks"], self._kept["grams"]
+
+
+#: Characters of the substrings by which chunks are found.
+GRAM = 3
+
+
+def grams(word: Column) -> Column:
+    """The different substrings of one to GRAM characters."""
+
+    def of(size: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(word) - (size - 1))
+        return F.when(F.length(word) >= size, F.transform(starts, lambda i: F.substring(word, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(*map(of, range(1, GRAM + 1))))
 
 
 def term_frequencies(tokens: DataFrame) -> DataFrame:

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import html as entities
 from collections.abc import Callable, Iterator
-from datetime import datetime
+from datetime import datetime, timezone
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -14,8 +13,9 @@ from pyspark.sql.window import Window
 
 from ..session import materialise
 
-#: Fixed value: the link with which the body of a service page begins.
+#: The link with which the body of a service page begins.
 MARKER = "[الخدمات](/ar/services)"
+# Elements that are left out.
 DROPPED = frozenset(("script", "style", "nav", "footer", "header", "iframe", "noscript"))
 
 
@@ -47,7 +47,7 @@ def urls_to_crawl(urls: DataFrame, docs: DataFrame, refresh: bool = False, retry
     if retry_failed:
         return refresh_failed(urls, docs)
     if refresh_days is not None:
-        return refresh_age(urls, docs, as_of or datetime.utcnow(), refresh_days)
+        return refresh_age(urls, docs, as_of or datetime.now(timezone.utc), refresh_days)
     return refresh_default(urls, docs)
 
 
@@ -154,8 +154,8 @@ def html_to_markdown(page: str | None, marker: str = MARKER) -> str | None:
     text = "".join(parser.out)
     if (at := text.find(marker)) >= 0:
         text = text[at:]
-    text = "\n".join(line.strip() for line in text.split("\n") if line.strip()).strip()
-    return entities.unescape(text) or None
+    # Blank lines go; others keep their indentation, as code and nested lists need it.
+    return "\n".join(line.rstrip() for line in text.split("\n") if line.strip()).strip() or None
 
 
 def parse_pages(pages: DataFrame, parse: Callable[[str | None], str | None] = html_to_markdown, html_col: str = "html") -> DataFrame:

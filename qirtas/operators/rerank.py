@@ -32,7 +32,9 @@ def failing_scorer(pairs: DataFrame) -> DataFrame:
 
 
 def pool_of(first: DataFrame, size: int) -> DataFrame:
-    return first.where(F.col("rank") <= size).select("query_id", "doc_id", F.col("rank").alias("stage1_rank"), F.col("score").alias("stage1_score"))
+    """The candidates; `lone` marks the only one of its query, which no re-ranker scores again."""
+    pool = first.where(F.col("rank") <= size).select("query_id", "doc_id", F.col("rank").alias("stage1_rank"), F.col("score").alias("stage1_score"))
+    return pool.withColumn("lone", F.count("*").over(Window.partitionBy("query_id")) == 1)
 
 
 def with_cosine(pool: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -67,8 +69,8 @@ def rerank_cosine_blend(first: DataFrame, queries: DataFrame, vectors: DataFrame
 
 def _vector_or_stage1(first, queries, vectors, k, pool, score):
     pooled = pool_of(first, pool)
-    scored = score(with_cosine(pooled, queries, vectors)).withColumn("fallback", F.lit(False))
-    alone = pooled.join(scored.select("query_id").distinct(), "query_id", "left_anti").withColumns({"cosine": F.lit(None).cast("double"), "score": F.col("stage1_score"), "fallback": F.lit(True)})
+    scored = score(with_cosine(pooled.where("not lone"), queries, vectors)).withColumn("fallback", F.lit(False))
+    alone = pooled.drop("lone").join(scored.select("query_id").distinct(), "query_id", "left_anti").withColumns({"cosine": F.lit(None).cast("double"), "score": F.col("stage1_score"), "fallback": F.lit(True)})
     both = scored.select("query_id", "doc_id", "stage1_rank", "stage1_score", "cosine", "score", "fallback").unionByName(alone)
     return ranked(both.withColumn("metadata", _meta(stage1_rank="stage1_rank", stage1_score="stage1_score", stage2_score="cosine", fallback="fallback")), k, ("metadata",))
 
@@ -76,7 +78,7 @@ def _vector_or_stage1(first, queries, vectors, k, pool, score):
 def rerank_backfill(first: DataFrame, queries: DataFrame, texts: DataFrame, scorer: Scorer = lexical_scorer, k: int = 10, pool: int = 10, limit: int = 8000) -> DataFrame:
     """The scored candidates, and after them first-stage ones up to k; candidates with an empty text are only filled back."""
     pooled = pool_of(first, pool)
-    scored = scorer(with_text(pooled, queries, texts, limit).where("text <> ''")).where("model_score is not null")
+    scored = scorer(with_text(pooled.where("not lone"), queries, texts, limit).where("text <> ''")).where("model_score is not null")
     used = scored.select("query_id", "doc_id", "stage1_rank", "stage1_score", F.col("model_score").alias("score"), F.lit(False).alias("fallback"))
     rest = pooled.join(used.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").select("query_id", "doc_id", "stage1_rank", "stage1_score", F.col("stage1_score").alias("score"), F.lit(True).alias("fallback"))
     order = Window.partitionBy("query_id").orderBy("fallback", F.when(~F.col("fallback"), -F.col("score")), F.when(F.col("fallback"), F.col("stage1_rank")), "doc_id")
@@ -91,7 +93,7 @@ def rerank_blend(first: DataFrame, queries: DataFrame, texts: DataFrame, scorer:
     n1 = scored.withColumn("n1", min_max(F.col("stage1_score"), "query_id"))
     # Null scores stay out of min and max, as Spark's aggregates skip them.
     n2 = n1.withColumn("n2", F.when(F.col("model_score").isNotNull(), min_max(F.col("model_score"), "query_id")))
-    final = n2.withColumn("score", F.round(F.when(F.col("n2").isNotNull(), w1 * F.col("n1") + w2 * F.col("n2")).otherwise(F.col("n1")), FUSED_DECIMALS))
+    final = n2.withColumn("score", F.round(F.when(F.col("lone"), F.col("stage1_score")).when(F.col("n2").isNotNull(), w1 * F.col("n1") + w2 * F.col("n2")).otherwise(F.col("n1")), FUSED_DECIMALS))
     return ranked(final.withColumn("metadata", _meta(stage1_rank="stage1_rank", stage1_score="stage1_score", stage1_norm="n1", stage2_score="model_score", stage2_norm="n2", truncated="truncated")), k, ("metadata",))
 
 
@@ -99,8 +101,8 @@ def rerank_scorer(first: DataFrame, queries: DataFrame, texts: DataFrame, scorer
     """By model score; a query whose pairs got no score keeps its first-stage order."""
     scored = scorer(with_text(pool_of(first, pool), queries, texts, limit, stripped=False))
     any_score = F.max("model_score").over(Window.partitionBy("query_id")).isNotNull()
-    kept = scored.withColumn("answered", any_score).where(F.col("model_score").isNotNull() | ~F.col("answered"))
-    final = kept.withColumn("score", F.coalesce("model_score", "stage1_score"))
+    kept = scored.withColumn("answered", any_score & ~F.col("lone")).where(F.col("model_score").isNotNull() | ~F.col("answered"))
+    final = kept.withColumn("score", F.when(F.col("lone"), F.col("stage1_score")).otherwise(F.coalesce("model_score", "stage1_score")))
     return ranked(final.withColumn("metadata", _meta(stage1_rank="stage1_rank", stage1_score="stage1_score", stage2_score="model_score", fallback=~F.col("answered"))), k, ("metadata",))
 
 
@@ -108,7 +110,9 @@ def rerank_cascade(first: DataFrame, scored_pool: Callable[[DataFrame], DataFram
     """final = (1 - blend) x min-max(fused) + blend x min-max(model_score) for the best `stage2` candidates; all others keep
     their fused score, on its own scale, and all are sorted together. scored_pool adds `model_score` to the pool."""
     pooled = scored_pool(pool_of(first, stage2)).where("model_score is not null")
-    final = pooled.withColumn("final", (1 - blend) * min_max(F.col("stage1_score"), "query_id") + blend * min_max(F.col("model_score"), "query_id")).select("query_id", "doc_id", "model_score", "final")
+    for name, default in (("truncated", F.lit(None).cast("boolean")), ("text", F.lit(None).cast("string"))):
+        pooled = pooled if name in pooled.columns else pooled.withColumn(name, default)
+    final = pooled.withColumn("final", (1 - blend) * min_max(F.col("stage1_score"), "query_id") + blend * min_max(F.col("model_score"), "query_id")).select("query_id", "doc_id", "model_score", "final", "truncated", F.substring("text", 1, 120).alias("preview"))
     joined = first.select("query_id", "doc_id", F.col("rank").alias("stage1_rank"), F.col("score").alias("fused_score")).join(final, ["query_id", "doc_id"], "left")
     out = joined.withColumn("score", F.round(F.coalesce("final", "fused_score"), FUSED_DECIMALS))
-    return ranked(out.withColumn("metadata", _meta(fused_score="fused_score", rerank_score="model_score", rerank_applied=F.col("final").isNotNull())), k, ("metadata",))
+    return ranked(out.withColumn("metadata", _meta(fused_score="fused_score", rerank_score="model_score", rerank_applied=F.col("final").isNotNull(), doc_truncated="truncated", rerank_input_preview="preview")), k, ("metadata",))

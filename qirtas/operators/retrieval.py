@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from ..functions.text import occurrences, split_simple, tokenize
 from ..functions.vectors import top_k_cosine
 from ..session import materialise
-from .index import Index
+from .index import GRAM, Index
 
 DECIMALS = 6
 #: Fused scores keep more, as they are made of rounded ones and would often fall just between two roundings.
@@ -27,27 +27,27 @@ def ranked(scores: DataFrame, k: int | None = None, extra: tuple[str, ...] = ())
     return (out.where(F.col("rank") <= k) if k else out).select("query_id", "doc_id", "score", "rank", *extra)
 
 
-def substring_counts(texts: DataFrame, words: list[str]) -> DataFrame:
-    """(doc_id, word, n) of the words that each lower-case text (doc_id, content) holds as a substring, n times.
+def chunks_with(words: DataFrame, index: Index) -> DataFrame:
+    """(word, chunk, n): the chunks of the corpus that hold each of the (word), which have no white space, n times.
 
-    A cheap test for each word comes first; only words that are there are counted, in generated code.
+    A word's first characters find the chunks that may hold it, so neither texts nor all pairs are looked at.
     """
-    stated = F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
-    low = texts.select("doc_id", F.lower("content").alias("low"))
-    hits = low.select("doc_id", "low", F.explode(F.filter(stated, lambda w: F.contains(F.col("low"), w))).alias("word"))
-    return hits.select("doc_id", "word", occurrences(F.col("low"), F.col("word")).alias("n"))
+    _, grams = index.chunks()
+    asked = words.where("word <> ''").select("word").distinct().withColumn("gram", F.substring("word", 1, GRAM))
+    held = grams.join(asked, "gram").where(F.contains("chunk", F.col("word")))
+    # Written, so that its size is known when it meets the chunks of all documents.
+    return materialise(held.select("word", "chunk", occurrences(F.col("chunk"), F.col("word")).alias("n")), "word-chunks")
 
 
 def keyword_scores(queries: DataFrame, index: Index) -> DataFrame:
     """Occurrences of each word of (query_id, query) as substrings of the lower-case text; words count as often as repeated.
 
-    Each document is scanned once for all distinct words of all queries; only words it holds leave the scan.
+    A word has no white space, so it occurs in a text as often as in the chunks between the text's white space.
     """
     words = queries.select("query_id", F.explode(split_simple(F.col("query"))).alias("word")).groupBy("query_id", "word").agg(F.count("*").alias("times"))
-    vocabulary = [r[0] for r in words.select("word").distinct().orderBy("word").collect()]
-    held = substring_counts(index.documents.select(F.col("id").alias("doc_id"), "content"), vocabulary)
-    score = F.sum(F.col("n") * F.col("times")).cast("double")
-    return held.join(words, "word").groupBy("query_id", "doc_id").agg(score.alias("score")).where("score > 0")
+    worth = chunks_with(words, index).join(words, "word").groupBy("query_id", "chunk").agg(F.sum(F.col("n") * F.col("times")).alias("worth"))
+    score = F.sum(F.col("tf") * F.col("worth")).cast("double")
+    return index.chunks()[0].join(worth, "chunk").groupBy("query_id", "doc_id").agg(score.alias("score")).where("score > 0")
 
 
 def bm25_scores(queries: DataFrame, index: Index, k1: float = 1.5, b: float = 0.75, script: str = "arabic") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import after_thinking, answer_part, chat_text, context_prompt, qfs_text, sampled, think_part
+from ..functions.text import after_thinking, answer_part, chat_text, context_prompt, digest, qfs_text, sampled, think_part
 from ..sources.tables import successful
 
 CHAT_SCHEMA = "conversations array<struct<role:string,content:string>>"
@@ -17,9 +17,28 @@ def export_texts(docs: DataFrame) -> DataFrame:
 
 
 def write_texts(docs: DataFrame, path: str) -> None:
-    """One folder an id, with the text in it; the writing is distributed."""
-    rows = successful(docs).select("id", F.concat(F.lit("Source URL: "), "url", F.lit("\n\n"), "content_text").alias("value"))
-    rows.write.mode("overwrite").partitionBy("id").text(path)
+    """(filename, body) of all documents in packed Parquet files: no file system holds a file for each of 10^9 texts."""
+    export_texts(docs).write.mode("overwrite").parquet(path)
+
+
+def unpack_texts(packed: DataFrame, folder: str) -> DataFrame:
+    """Write each (filename, body) to a file of its own in a folder that all executors share; (filename, bytes) of what was
+    written. For exports that a file system can hold; lazy, as any DataFrame, and safe to repeat."""
+
+    def run(batches):
+        import os
+
+        import pyarrow as pa
+
+        os.makedirs(folder, exist_ok=True)
+        for batch in batches:
+            sizes = []
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with open(os.path.join(folder, os.path.basename(name)), "w", encoding="utf-8") as f:
+                    sizes.append(f.write(body))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["filename", "characters"])
+
+    return packed.select("filename", "body").mapInArrow(run, "filename string, characters bigint")
 
 
 def long_enough(docs: DataFrame, least: int, text_col: str = "content_text") -> DataFrame:
@@ -52,15 +71,28 @@ def qfs_rows(samples: DataFrame) -> DataFrame:
     return kept.select("sample_id", qfs_text(F.concat_ws("\n", "instruction", "input"), F.col("output")).alias("text"))
 
 
+# Fixed value: the reasoning of an answer that came without any.
+NO_THOUGHT = "<think>Answer generated based on context.</think>"
+
+
 def parse_answers(raw: DataFrame, text_col: str = "raw") -> DataFrame:
-    """JSON answers that have a question and a final response; a missing thought gets a default."""
-    parsed = raw.withColumn("a", F.from_json(text_col, "thought string, question string, final_response string"))
-    return parsed.where(F.col("a.question").isNotNull() & F.col("a.final_response").isNotNull()).select(*[c for c in raw.columns if c != text_col], F.coalesce("a.thought", F.lit("")).alias("thought"), F.col("a.question").alias("question"), F.col("a.final_response").alias("final_response"))
+    """JSON answers that have a question and a final response, with the assistant turn made of them: the reasoning under
+    `thought_process`, or a default, and the response on the next line. Anything else is left out."""
+    parsed = raw.withColumn("_a", F.from_json(text_col, "thought_process string, question string, final_response string"))
+    kept = parsed.where(F.col("_a.question").isNotNull() & F.col("_a.final_response").isNotNull())
+    thought = F.coalesce("_a.thought_process", F.lit(NO_THOUGHT))
+    return kept.select(*[c for c in raw.columns if c != text_col], F.col("_a.question").alias("question"), thought.alias("thought"), F.col("_a.final_response").alias("final_response"), F.concat(thought, F.lit("\n"), "_a.final_response").alias("assistant"))
+
+
+def conversations(answers: DataFrame, system: str, context_col: str = "context", limit: int = 3000) -> DataFrame:
+    """The answers of parse_answers with `conversations`: system, context and question, and answer."""
+    turn = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    return answers.withColumn("conversations", F.array(turn("system", F.lit(system)), turn("user", context_prompt(F.col(context_col), F.col("question"), limit)), turn("assistant", F.col("assistant"))))
 
 
 def negatives(docs: DataFrame, questions: list[str], refusal: str, percent: int = 15, seed: int = 0) -> DataFrame:
     """Samples with a question that has nothing to do with the document, for a fixed share of the documents."""
-    pick = F.array(*map(F.lit, questions))[F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(len(questions))).cast("int")]
+    pick = F.array(*map(F.lit, questions))[F.pmod(digest(F.col("id"), seed + 1), F.lit(len(questions))).cast("int")]
     rows = successful(docs).where((F.length("content_text") >= 50) & sampled(F.col("id"), percent, seed))
     return rows.select(F.col("id").alias("doc_id"), context_prompt(F.col("content_text"), pick, 1000).alias("user"), F.lit(refusal).alias("assistant"))
 

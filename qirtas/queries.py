@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import text as tx
+from .functions.text import think_part
 from .functions.vectors import l2_normalize, top_k_cosine
 from .operators import diagnostics as dg
 from .operators import evaluate as ev
@@ -19,7 +20,8 @@ from .operators import ingest as ig
 from .operators import rerank as rr
 from .operators import retrieval as rt
 from .operators import training_data as td
-from .plans.engines import BM25_THEN_VECTOR, Corpus, SearchSession, create
+from .plans.crawl import ListBot, crawl
+from .plans.engines import BM25_THEN_VECTOR, Corpus, SearchSession, create, registry
 from .session import table
 from .sources import tables as src
 
@@ -208,7 +210,9 @@ _DENS = "greatest(coalesce(least(1.0, exp(-(r1 - 1) / 6.0)), 0.0), coalesce(leas
 q("hybrid_rrf_density", lambda s, sf: searched(s, sf, "hybrid-rrf-density"), f"WITH {fused_sql(95, 'pow(0.6 * ' + RRF.format(k=50, b=1) + ', 1.15) + 0.25 * ' + _W64 + ' + 0.1 * ' + _DENS + ' + CASE WHEN r1 <= 3 THEN 0.1 / r1 ELSE 0 END')} {top_sql('fused')}")
 _CASCADE = fused_sql(110, "0.4 * " + RRF.format(k=55, b=1) + " + 0.25 * " + _W64 + " + CASE WHEN r1 <= 1 THEN 0.12 / r1 ELSE 0 END")
 q("hybrid_cascade", lambda s, sf: searched(s, sf, "hybrid-cascade-rerank"), f"""WITH {_CASCADE},
-    second AS (SELECT query_id, doc_id, fused.score, round(list_cosine_similarity(qv.v, vecs.v), 6) AS model FROM fused JOIN vecs USING (doc_id) JOIN qv USING (query_id) WHERE rank <= 45),
+    texts AS (SELECT f.query_id, f.doc_id, f.score, substr(coalesce({strip_sql("content")}, ''), 1, 900) AS text, query FROM fused f LEFT JOIN docs ON docs.id = f.doc_id JOIN truth ON truth.id = f.query_id WHERE f.rank <= 45),
+    cuts AS (SELECT *, list_distinct({tokens_sql("query")}) AS qs, {tokens_sql("text")} AS ds FROM texts WHERE text <> ''),
+    second AS (SELECT query_id, doc_id, score, CASE WHEN len(qs) = 0 THEN 0.0 ELSE round(len(list_intersect(qs, list_distinct(ds))) / len(qs), 6) END AS model FROM cuts),
     blended AS (SELECT query_id, doc_id, 0.45 * {mm_sql("score")} + 0.55 * {mm_sql("model")} AS final FROM second),
     alls AS (SELECT query_id, doc_id, round(coalesce(final, fused.score), 9) AS score FROM fused LEFT JOIN blended USING (query_id, doc_id)),
     allr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM alls) {top_sql("allr")}""")
@@ -218,8 +222,8 @@ _STAGE1 = fused_sql(50, "0.5 * n1 + 0.5 * n2")
 
 def cosine_sql(source: str, pool: int, score: str, start: str) -> str:
     return f"""WITH {start},
-    pooled AS (SELECT query_id, doc_id, rank AS stage1_rank, score AS stage1_score FROM {source} WHERE rank <= {pool}),
-    cosines AS (SELECT pooled.*, round(list_cosine_similarity(qv.v, vecs.v), 6) AS cosine FROM pooled JOIN vecs USING (doc_id) JOIN qv USING (query_id)),
+    pooled AS (SELECT query_id, doc_id, rank AS stage1_rank, score AS stage1_score, count(*) OVER (PARTITION BY query_id) = 1 AS lone FROM {source} WHERE rank <= {pool}),
+    cosines AS (SELECT pooled.*, round(list_cosine_similarity(qv.v, vecs.v), 6) AS cosine FROM pooled JOIN vecs USING (doc_id) JOIN qv USING (query_id) WHERE NOT lone),
     both_ AS (SELECT query_id, doc_id, {score} AS score FROM cosines UNION ALL SELECT query_id, doc_id, stage1_score FROM pooled WHERE query_id NOT IN (SELECT query_id FROM cosines)),
     outr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM both_) {top_sql("outr")}"""
 
@@ -234,19 +238,21 @@ for _name, _w1, _w2 in (("hybrid-cosine-combined", 0.5, 0.5), ("hybrid-cosine-co
 def scored_sql(pool: int, limit: int, stripped: bool = True) -> str:
     content = strip_sql("content") if stripped else "content"
     return f"""WITH {_STAGE1},
-    pooled AS (SELECT f.query_id, f.doc_id, f.rank AS stage1_rank, f.score AS stage1_score, substr(coalesce({content}, ''), 1, {limit}) AS text, query FROM fused f LEFT JOIN docs ON docs.id = f.doc_id JOIN truth ON truth.id = f.query_id WHERE f.rank <= {pool}),
+    pooled AS (SELECT count(*) OVER (PARTITION BY f.query_id) = 1 AS lone, f.query_id, f.doc_id, f.rank AS stage1_rank, f.score AS stage1_score, substr(coalesce({content}, ''), 1, {limit}) AS text, query FROM fused f LEFT JOIN docs ON docs.id = f.doc_id JOIN truth ON truth.id = f.query_id WHERE f.rank <= {pool}),
     cuts AS (SELECT *, list_distinct({tokens_sql("query")}) AS qs, {tokens_sql("text")} AS ds FROM pooled),
     scored AS (SELECT *, CASE WHEN text = '' THEN NULL WHEN len(qs) = 0 THEN 0.0 ELSE round(len(list_intersect(qs, list_distinct(ds))) / len(qs), 6) END AS model FROM cuts)"""
 
 
 q("rerank_blend", lambda s, sf: searched(s, sf, "hybrid-jina-rerank"), f"""{scored_sql(30, 800)},
     ns AS (SELECT *, {mm_sql("stage1_score")} AS n1, CASE WHEN model IS NOT NULL THEN {mm_sql("model")} END AS n2 FROM scored),
-    fin AS (SELECT query_id, doc_id, round(CASE WHEN n2 IS NOT NULL THEN 0.3 * n1 + 0.7 * n2 ELSE n1 END, 9) AS score FROM ns),
+    fin AS (SELECT query_id, doc_id, round(CASE WHEN lone THEN stage1_score WHEN n2 IS NOT NULL THEN 0.3 * n1 + 0.7 * n2 ELSE n1 END, 9) AS score FROM ns),
     outr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fin) {top_sql("outr")}""")
 q("rerank_indexed_backfill", lambda s, sf: searched(s, sf, "hybrid-rerank-gemma-indexed"), f"""{scored_sql(10, 8000)},
-    fin AS (SELECT query_id, doc_id, coalesce(model, stage1_score) AS score, row_number() OVER (PARTITION BY query_id ORDER BY model IS NULL, model DESC, CASE WHEN model IS NULL THEN stage1_rank END, doc_id) AS rank FROM scored) {top_sql("fin")}""")
+    kept AS (SELECT * REPLACE (CASE WHEN NOT lone THEN model END AS model) FROM scored),
+    fin AS (SELECT query_id, doc_id, coalesce(model, stage1_score) AS score, row_number() OVER (PARTITION BY query_id ORDER BY model IS NULL, model DESC, CASE WHEN model IS NULL THEN stage1_rank END, doc_id) AS rank FROM kept) {top_sql("fin")}""")
 q("rerank_model", lambda s, sf: searched(s, sf, "hybrid-deepinfra-rerank"), f"""{scored_sql(10, 8000, False)},
-    outr AS (SELECT query_id, doc_id, model AS score, row_number() OVER (PARTITION BY query_id ORDER BY model DESC, doc_id) AS rank FROM scored WHERE model IS NOT NULL) {top_sql("outr")}""")
+    kept AS (SELECT query_id, doc_id, CASE WHEN lone THEN stage1_score ELSE model END AS score FROM scored),
+    outr AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM kept WHERE score IS NOT NULL) {top_sql("outr")}""")
 q("rerank_fallback", lambda s, sf: create("hybrid-deepinfra-rerank", rr.failing_scorer).search(queries_of(s, sf), corpus(s, sf), K).select("query_id", "doc_id", "score", "rank"), f"WITH {_STAGE1} {top_sql('fused')}")
 
 # ---- evaluation ----------------------------------------------------------------------------------------------------------
@@ -298,6 +304,30 @@ def live(s, sf):
     return session.benchmark(queries_of(s, sf), src.qrels(truth_of(s, sf)), ["keyword", "bm25", "vector-gemma", "hybrid", "hybrid-weighted"])
 
 
+# What each engine tells of a result.
+_FUSED = "engine in_engine1 in_engine2 rank1 rank2 score1 score2 norm_score1 norm_score2 pool"
+_STAGED = "engine stage1_rank stage1_score stage2_rank pool"
+METADATA = {
+    "keyword": "engine keyword_count", **dict.fromkeys(("vector-gemma", "vector-gemma-faiss", "vector-gemma-int8", "vector-gemma-int8-faiss"), "engine model"), "hybrid": f"{_FUSED} rrf_k",
+    **dict.fromkeys(("hybrid-weighted", "hybrid-weighted-bm25", "hybrid-weighted-vector"), f"{_FUSED} w1 w2"), **dict.fromkeys(("hybrid-cosine-rerank", "hybrid-rerank-gemma"), f"{_STAGED} stage2_score fallback rerank_method"),
+    **dict.fromkeys(("hybrid-cosine-combined", "hybrid-cosine-combined-0.7"), f"{_STAGED} stage2_score fallback rerank_method weight1 weight2"), "hybrid-jina-rerank": f"{_STAGED} stage1_norm stage2_score stage2_norm truncated reranker_model stage1_weight stage2_weight",
+    "hybrid-rerank-gemma-indexed": f"{_STAGED} fallback rerank_prompt", "hybrid-deepinfra-rerank": f"{_STAGED} stage2_score fallback reranker_model", "hybrid-rrf-fusion": f"{_FUSED} rrf_k blend w1 w2",
+    "hybrid-ensemble-boost": f"{_FUSED} rrf_k rrf_weight score_weight w1 w2 max_weight boost boost_rank", "hybrid-rrf-density": f"{_FUSED} rrf_k rrf_weight score_weight w1 w2 density_weight window position_boost exponent",
+    "hybrid-cascade-rerank": "engine fused_score rerank_score rerank_applied doc_truncated rerank_input_preview bm25_rank vector_rank",
+}
+
+
+def engine_metadata(s, sf):
+    """The fields of each engine's typed metadata, as the results have them; the schema needs no query to be run."""
+    rows, none = [], queries_of(s, sf).where("false")
+    for name, engine in registry().items():
+        found = engine.search(none, corpus(s, sf), K).schema
+        rows += [(name, f.name) for f in (found["metadata"].dataType.fields if "metadata" in found.names else ())]
+    return s.createDataFrame(rows, "engine string, field string")
+
+
+q("engine_metadata", engine_metadata, "SELECT * FROM (VALUES " + ", ".join(f"('{e}', '{f}')" for e, fs in METADATA.items() for f in fs.split()) + ") AS t(engine, field)")
+
 # ---- ingest --------------------------------------------------------------------------------------------------------------
 def listed(s, sf):
     return src.sitemap_urls(table(s, sf, "sitemaps")).select("url").distinct()
@@ -335,6 +365,40 @@ for _status in ("success", "failed"):
             CASE WHEN l.url IS NULL THEN crawl_status ELSE '{_status}' END AS crawl_status, CASE WHEN l.url IS NULL THEN http_status ELSE {200 if _ok else 500} END AS http_status,
             CASE WHEN l.url IS NULL THEN error_message ELSE {"NULL" if _ok else "'HTTP 500'"} END AS error_message
         FROM crawl_documents d FULL JOIN listed l ON l.url = d.url LEFT JOIN fresh ON fresh.url = l.url""")
+def recorded(s, sf):
+    """Recorded answers for the addresses of the sitemaps, told by their last digit: pages, pages without text, errors."""
+    def make():
+        def fetch(url):
+            last = url[-1:]
+            if last in "12":
+                return None, 404 if last == "1" else 0, None if last == "1" else "timeout"
+            return ("<html><body></body></html>" if last == "3" else f"<html><body><p>page {url}</p></body></html>"), 200, None
+
+        return fetch
+
+    return make
+
+
+def crawl_run(s, sf):
+    """A whole crawl of the listed addresses over recorded answers: the document table after it."""
+    run = crawl(ListBot("recorded", listed(s, sf)), docs_of(s, sf), recorded(s, sf), run_preflight=False, delay=0.0, now=AS_OF)
+    return run.documents.select("id", "url", "content_raw", "content_text", F.unix_micros("updated_at").alias("updated_at"), "crawl_status", "http_status", "error_message")
+
+
+def crawl_totals(s, sf):
+    run = crawl(ListBot("recorded", listed(s, sf)), docs_of(s, sf), recorded(s, sf), delay=0.0, now=AS_OF)
+    return s.createDataFrame([tuple(run.counters[k] for k in ("total", "success", "failed", "skipped"))], "total bigint, success bigint, failed bigint, skipped bigint")
+
+
+_RUN_SQL = f"""{_LISTED}, todo AS (SELECT url, right(url, 1) AS c FROM listed WHERE url NOT IN (SELECT url FROM crawl_documents WHERE crawl_status = 'success')),
+    got AS (SELECT url, CASE WHEN c = '3' THEN '<html><body></body></html>' WHEN c NOT IN ('1', '2') THEN '<html><body><p>page ' || url || '</p></body></html>' END AS raw, CASE WHEN c NOT IN ('1', '2', '3') THEN 'page ' || url END AS txt,
+        CASE WHEN c IN ('1', '2', '3') THEN 'failed' ELSE 'success' END AS st, CASE c WHEN '1' THEN 404 WHEN '2' THEN 0 ELSE 200 END AS http, CASE c WHEN '1' THEN 'HTTP 404' WHEN '2' THEN 'timeout' WHEN '3' THEN 'Parsing failed: no content extracted' END AS err FROM todo)"""
+q("crawl_run", crawl_run, f"""WITH {_RUN_SQL},
+    fresh AS (SELECT url, (SELECT max(id) FROM crawl_documents) + row_number() OVER (ORDER BY url) AS id FROM got WHERE url NOT IN (SELECT url FROM crawl_documents))
+    SELECT coalesce(d.id, fresh.id) AS id, coalesce(d.url, g.url) AS url, CASE WHEN g.url IS NULL THEN content_raw ELSE raw END AS content_raw, CASE WHEN st = 'success' THEN txt ELSE content_text END AS content_text,
+        epoch_us(CASE WHEN g.url IS NULL THEN updated_at ELSE {_AS_OF} END) AS updated_at, CASE WHEN g.url IS NULL THEN crawl_status ELSE st END AS crawl_status, CASE WHEN g.url IS NULL THEN http_status ELSE http END AS http_status, CASE WHEN g.url IS NULL THEN error_message ELSE err END AS error_message
+    FROM crawl_documents d FULL JOIN got g ON g.url = d.url LEFT JOIN fresh ON fresh.url = g.url""")
+q("crawl_totals", crawl_totals, f"WITH {_RUN_SQL} SELECT count(*) AS total, count(*) FILTER (st = 'success') AS success, count(*) FILTER (st = 'failed') AS failed, CAST(0 AS BIGINT) AS skipped FROM got")
 q("delete_url", lambda s, sf: ig.delete_url(docs_of(s, sf), "https://khadamat-services.example/ar/faq/9").select("id"), "SELECT id FROM crawl_documents WHERE url IS DISTINCT FROM 'https://khadamat-services.example/ar/faq/9'")
 q("page_text", lambda s, sf: ig.parse_pages(docs_of(s, sf).select("id", "content_raw"), html_col="content_raw").select("id", "content_text"))
 q("preflight", lambda s, sf: ig.preflight(docs_of(s, sf)), """WITH c AS (SELECT count(*) AS n, count(*) FILTER (id IS NULL OR url IS NULL) AS k, count(DISTINCT url) AS u, count(url) AS w, count(*) FILTER (crawl_status NOT IN ('pending', 'success', 'failed')) AS o,
@@ -349,8 +413,8 @@ def phrases_of(s, sf):
 
 
 _PHRASES = f"{DOCS}, {TRUTH}, phrases AS (SELECT DISTINCT lower(trim(query)) AS phrase FROM truth WHERE trim(query) <> ''), hits AS (SELECT phrase, id AS doc_id, (length(lower(content)) - length(replace(lower(content), phrase, ''))) // length(phrase) AS n FROM phrases, docs WHERE contains(lower(content), phrase))"
-q("phrase_search", lambda s, sf: dg.phrase_search(src.successful(docs_of(s, sf)), phrases_of(s, sf)), f"WITH {_PHRASES} SELECT phrase, doc_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY phrase ORDER BY doc_id) AS rank FROM hits) WHERE rank <= 10")
-q("candidate_queries", lambda s, sf: dg.candidate_queries(src.successful(docs_of(s, sf)), phrases_of(s, sf)), f"""WITH {_PHRASES}, totals AS (SELECT phrase, count(*) AS matches FROM hits GROUP BY phrase HAVING count(*) >= 2 ORDER BY matches DESC, phrase LIMIT 15),
+q("phrase_search", lambda s, sf: dg.phrase_search(corpus(s, sf).index, phrases_of(s, sf)), f"WITH {_PHRASES} SELECT phrase, doc_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY phrase ORDER BY doc_id) AS rank FROM hits) WHERE rank <= 10")
+q("candidate_queries", lambda s, sf: dg.candidate_queries(corpus(s, sf).index, phrases_of(s, sf)), f"""WITH {_PHRASES}, totals AS (SELECT phrase, count(*) AS matches FROM hits GROUP BY phrase HAVING count(*) >= 2 ORDER BY matches DESC, phrase LIMIT 15),
     best AS (SELECT hits.*, matches, row_number() OVER (PARTITION BY phrase ORDER BY n DESC, doc_id) AS rank FROM hits JOIN totals USING (phrase))
     SELECT phrase, matches, CAST(rank AS INTEGER) AS rank, doc_id, CAST(n AS BIGINT) AS n, {_TITLE_SQL} AS title FROM best JOIN docs ON docs.id = doc_id WHERE rank <= 5""")
 q("title_words", lambda s, sf: dg.title_words(src.successful(docs_of(s, sf))), rf"""WITH {DOCS}, t AS (SELECT {_TITLE_SQL} AS title FROM docs),
@@ -371,12 +435,30 @@ _EOS = "'<|im_end|>'"
 _TURNS = "SELECT sample_id, conversations[1].content AS a, conversations[2].content AS b, conversations[3].content AS c FROM chat_samples WHERE len(conversations) >= 3"
 q("chat_template", lambda s, sf: td.chat_rows(table(s, sf, "chat_samples")), f"SELECT sample_id, '<|im_start|>system' || chr(10) || a || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || b || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || c || '<|im_end|>' || {_EOS} AS text FROM ({_TURNS}) WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL")
 _AFTER = f"CASE WHEN contains(c, '</think>') THEN {strip_sql('string_split(c, ' + repr('</think>') + ')[-1]')} ELSE c END"
-_QFS = "'### Instruction:' || chr(10) || 'لخص النص التالي بما يجيب عن السؤال.' || chr(10) || chr(10) || '### Input:' || chr(10) || {i} || chr(10) || chr(10) || '### Response:' || chr(10) || {o} || " + _EOS
+# The template is written out here, as the SQL is to check the code's.
+_QFS = """'Below is an instruction that describes a task, paired with an input that provides further context. Write a response that appropriately completes the request.' || chr(10) || chr(10) || '### Instruction:' || chr(10) ||
+    'You are a Query-Focused Summarization engine. Extract relevant information from the provided document to answer the user query. Output ONLY the summary. Do not use internal reasoning or conversational filler.'
+    || chr(10) || chr(10) || '### Input:' || chr(10) || {i} || chr(10) || chr(10) || '### Response:' || chr(10) || {o} || """ + _EOS
 q("chat_to_qfs", lambda s, sf: td.chat_to_qfs(table(s, sf, "chat_samples")), f"SELECT sample_id, {_QFS.format(i='b', o=_AFTER)} AS text FROM ({_TURNS}) WHERE b IS NOT NULL AND c IS NOT NULL")
 q("think_split", lambda s, sf: td.think_split(table(s, sf, "chat_samples")), f"""SELECT sample_id, CASE WHEN regexp_matches(t, '(?s)<think>.*?</think>') THEN {strip_sql("regexp_extract(t, '(?s)<think>(.*?)</think>', 1)")} END AS thought,
     {strip_sql("regexp_replace(t, '(?s)<think>.*?</think>', '', 'g')")} AS answer FROM (SELECT sample_id, x.content AS t FROM (SELECT sample_id, unnest(conversations) AS x FROM chat_samples) WHERE x.role = 'assistant')""")
 q("qfs_template", lambda s, sf: td.qfs_rows(table(s, sf, "qfs_samples")), f"SELECT min(sample_id) AS sample_id, {_QFS.format(i='concat_ws(chr(10), instruction, input)', o='output')} AS text FROM qfs_samples WHERE input IS NOT NULL AND length(trim(output)) > 0 GROUP BY instruction, input, output")
-q("negative_samples", lambda s, sf: td.negatives(docs_of(s, sf), ["ما لون السماء؟", "كم عدد الكواكب؟"], "لا يجيب النص عن هذا السؤال."))
+_MD5 = "CAST('0x' || substr(md5(id || ':{seed}'), 1, 8) AS BIGINT)"
+q("negative_samples", lambda s, sf: td.negatives(docs_of(s, sf), ["ما لون السماء؟", "كم عدد الكواكب؟"], "لا يجيب النص عن هذا السؤال."), f"""WITH {DOCS}
+    SELECT id AS doc_id, 'السياق:' || chr(10) || substr(content, 1, 1000) || chr(10) || chr(10) || 'السؤال:' || chr(10) || ['ما لون السماء؟', 'كم عدد الكواكب؟'][{_MD5.format(seed=1)} % 2 + 1] AS "user", 'لا يجيب النص عن هذا السؤال.' AS assistant
+    FROM docs WHERE length(content) >= 50 AND {_MD5.format(seed=0)} % 100 < 15""")
+
+
+def raw_answers(s, sf):
+    """Answers of a teacher model as JSON, made of the conversations; those of one turn are no answers."""
+    turn = lambda i: F.get("conversations", F.lit(i))["content"]
+    named = F.struct(turn(1).alias("question"), turn(2).alias("final_response"), think_part(turn(2)).alias("thought_process"))
+    return table(s, sf, "chat_samples").select("sample_id", F.when(F.size("conversations") > 1, F.to_json(named)).otherwise("{cut short").alias("raw"))
+
+
+q("parsed_answers", lambda s, sf: td.parse_answers(raw_answers(s, sf)), f"""WITH turns AS (SELECT sample_id, conversations[2].content AS question, conversations[3].content AS final_response FROM chat_samples WHERE len(conversations) > 1),
+    thoughts AS (SELECT *, CASE WHEN regexp_matches(final_response, '(?s)<think>.*?</think>') THEN {strip_sql("regexp_extract(final_response, '(?s)<think>(.*?)</think>', 1)")} ELSE '<think>Answer generated based on context.</think>' END AS thought FROM turns)
+    SELECT sample_id, question, thought, final_response, thought || chr(10) || final_response AS assistant FROM thoughts WHERE question IS NOT NULL AND final_response IS NOT NULL""")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

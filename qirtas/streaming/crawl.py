@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.ingest import classify_fetch, parse_pages, upsert
+from ..operators.ingest import classify_fetch, html_to_markdown, parse_pages, upsert
 
 PAGE_SCHEMA = "url string, html string, status int, error string"
 
 
-def to_fetched(pages: DataFrame) -> DataFrame:
+def to_fetched(pages: DataFrame, parse: Callable[[str | None], str | None] = html_to_markdown) -> DataFrame:
     """(url, content_raw, content_text, crawl_status, http_status, error_message) of fetched pages."""
     outcome = classify_fetch(F.col("status"), F.col("html"), F.col("content_text"), F.col("error"))
-    parsed = parse_pages(pages).withColumn("outcome", outcome)
-    return parsed.select("url", F.col("html").alias("content_raw"), "content_text", "outcome.crawl_status", F.col("status").alias("http_status"), "outcome.error_message")
+    parsed = parse_pages(pages, parse).withColumn("outcome", outcome)
+    # Of a failed fetch no markup is kept; it stays where only parsing failed.
+    raw = F.when(F.col("status") == 200, F.col("html"))
+    return parsed.select("url", raw.alias("content_raw"), "content_text", "outcome.crawl_status", F.col("status").alias("http_status"), "outcome.error_message")
 
 
 class VersionedTable:
@@ -29,6 +32,10 @@ class VersionedTable:
     def path(self, version: int) -> str:
         return f"{self.folder}/v{version}"
 
+    def exists(self, version: int) -> bool:
+        found = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(version))
+        return found.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(found)
+
     def read(self, version: int) -> DataFrame:
         return self.spark.read.parquet(self.path(version))
 

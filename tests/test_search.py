@@ -135,15 +135,15 @@ def test_fusion_does_not_depend_on_order(spark):
 
 
 def test_rerankers(spark, asked, corpus):
-    first = ranking(spark, [(1, 1, 3.0), (1, 3, 2.0), (1, 4, 1.0), (2, 4, 1.0)])
+    first = ranking(spark, [(1, 1, 3.0), (1, 3, 2.0), (1, 4, 1.0), (2, 4, 0.7)])
     rows = lambda df: [(r["query_id"], r["doc_id"]) for r in df.orderBy("query_id", "rank").collect()]
     assert rows(rr.rerank_cosine(first, asked, corpus.vectors)) == [(1, 1), (1, 3), (2, 4)]
     assert rows(rr.rerank_backfill(first, asked, corpus.texts)) == [(1, 1), (1, 3), (1, 4), (2, 4)]
     assert rows(rr.rerank_scorer(first, asked, corpus.texts, rr.failing_scorer)) == [(1, 1), (1, 3), (1, 4), (2, 4)]
     blended = {(r["query_id"], r["doc_id"]): r["score"] for r in rr.rerank_blend(first, asked, corpus.texts).collect()}
-    assert blended == pytest.approx({(1, 1): 1.0, (1, 3): 0.15, (1, 4): 0.0, (2, 4): 1.0})
+    assert blended == pytest.approx({(1, 1): 1.0, (1, 3): 0.15, (1, 4): 0.0, (2, 4): 0.7})
     cascade = rr.rerank_cascade(first, lambda p: rr.with_cosine(p, asked, corpus.vectors).withColumnRenamed("cosine", "model_score"), stage2=2)
-    assert {(r["query_id"], r["doc_id"]): r["score"] for r in cascade.collect()} == pytest.approx({(1, 1): 1.0, (1, 3): 0.0, (1, 4): 1.0, (2, 4): 1.0})
+    assert {(r["query_id"], r["doc_id"]): r["score"] for r in cascade.collect()} == pytest.approx({(1, 1): 1.0, (1, 3): 0.0, (1, 4): 1.0, (2, 4): 0.7})
 
 
 def test_registry_has_all_engines(spark, docs, asked, corpus):
@@ -190,7 +190,7 @@ def test_diagnostics(spark, docs, asked, corpus):
     judged = spark.createDataFrame([(1, 1), (1, 3)], "query_id bigint, doc_id bigint")
     rows = {(r["doc_id"], r["term"]): r["tf"] for r in dg.truth_terms(asked.where("query_id = 1"), judged, corpus.index).collect()}
     assert rows == {(1, "رخصه"): 2, (1, "قياده"): 1, (3, "رخصه"): 1, (3, "قياده"): 0}
-    assert dg.phrase_search(docs.where("content_text is not null and id < 9"), spark.createDataFrame([("رخصة",)], "phrase string")).count() == 2
+    assert dg.phrase_search(corpus.index, spark.createDataFrame([("رخصة",)], "phrase string")).count() == 2
 
 
 # ---- plans
@@ -211,3 +211,60 @@ def test_pools_are_limited_before_the_shuffle(spark, asked, corpus):
     text = plan(create("bm25").search(asked, corpus, 10))
     assert text.count("WindowGroupLimit") >= 2 and "BroadcastHashJoin" in text
 
+
+
+def test_a_lone_candidate_is_returned_as_it_is(spark, asked, corpus):
+    first = ranking(spark, [(1, 1, 0.3)])
+    for out in (rr.rerank_cosine(first, asked, corpus.vectors), rr.rerank_cosine_blend(first, asked, corpus.vectors), rr.rerank_backfill(first, asked, corpus.texts), rr.rerank_blend(first, asked, corpus.texts), rr.rerank_scorer(first, asked, corpus.texts)):
+        assert [(r["doc_id"], r["score"], r["rank"]) for r in out.collect()] == [(1, 0.3, 1)]
+
+
+def test_encoders(spark):
+    from dataclasses import replace
+
+    from qirtas.functions import encoding as en
+
+    config = replace(en.MODELS["gemma"], dimension=64, batch_size=2)
+    texts = spark.createDataFrame([(1, "open permit"), (2, "permit open"), (3, None), (4, ""), (5, "harbour")], "id bigint, text string")
+    got = {r["id"]: r["embedding"] for r in en.encode(texts, "text", config).collect()}
+    assert got[1] == got[2] and got[3] is None and len(got[5]) == 64 and not any(got[4]) and sum(x * x for x in got[1]) == pytest.approx(1)
+    with pytest.raises(ValueError):
+        replace(config, dimension=0)
+    with pytest.raises(ValueError):
+        replace(config, batch_size=0)
+    int8 = en.MODELS["gemma-int8"]
+
+    def missing(config):
+        raise OSError("no such model")
+
+    assert en.load(int8, missing, en.HashingEncoder).config.local_path is None and en.load(int8, en.HashingEncoder, missing).config.label == "vector-basic-gemma-300M-int8" and int8.local_path
+
+
+def test_free_queries_search_vectors(spark, docs):
+    from qirtas.plans.engines import report
+
+    session = SearchSession(docs)
+    session.encode_documents()
+    session.initialize()
+    asked = session.encode_queries(spark.createDataFrame([(1, TEXTS[0])], "query_id bigint, query string"))
+    answer = session.timed(asked, "vector-gemma", 2)
+    assert answer.results.where("rank = 1").first()["doc_id"] == 1
+    lines = report(answer, verbose=True).split("\n")
+    assert "model=google/embeddinggemma-300M" in lines[2] and lines[-1].startswith("2 results, search ")
+    assert set(session.benchmark(asked, spark.createDataFrame([(1, 1)], "query_id bigint, doc_id bigint"), ["bm25"], timed=True).columns) >= {"mrr", "time_ms"}
+
+
+@pytest.mark.parametrize("block", [4096, 3])
+def test_vector_search_in_a_grid(spark, monkeypatch, block):
+    import numpy as np
+
+    from qirtas.functions import vectors as ve
+
+    monkeypatch.setattr(ve, "QUERY_BLOCK", block)
+    rng = np.random.default_rng(1)
+    a, b = rng.standard_normal((10, 8)), rng.standard_normal((50, 8))
+    make = lambda m, name: spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], f"{name} bigint, embedding array<float>")
+    scores = np.round((a / np.linalg.norm(a, axis=1, keepdims=True)) @ (b / np.linalg.norm(b, axis=1, keepdims=True)).T, 5)
+    want = {(q, d) for q in range(10) for d in np.argsort(-scores[q], kind="stable")[:4].tolist()}
+    assert {(r["query_id"], r["doc_id"]) for r in ve.top_k_cosine(make(a, "query_id"), make(b, "doc_id"), 4, 5).collect()} == want
+    assert ve.top_k_cosine(make(a, "query_id").limit(0), make(b, "doc_id"), 4).collect() == [] == ve.top_k_cosine(make(a, "query_id"), make(b, "doc_id").limit(0), 4).collect()

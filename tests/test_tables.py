@@ -86,9 +86,9 @@ def test_ground_truth_files(spark, tmp_path):
 
 def test_sitemaps(spark):
     ns = '<urlset xmlns="http://s.example/x">'
-    rows = [(1, f"{ns}<url><loc>https://a/ar/services/1</loc></url><url><loc> https://a/ar/news/2 </loc></url><url><loc>https://a/ar/services/1</loc></url></urlset>"), (2, f"{ns}<url><loc>https://a/ar/services/3</loc></url><url>"), (3, None), (4, "<sitemapindex><sitemap><loc>m.xml</loc></sitemap></sitemapindex>\n")]
+    rows = [(1, f"{ns}<url><loc>https://a/ar/services/1</loc></url><url><loc> https://a/ar/news/2 </loc></url><url><loc>https://a/ar/services/1</loc></url></urlset>"), (2, f"{ns}<url><loc>https://a/ar/services/3</loc></url><url>"), (3, None), (4, "<sitemapindex><sitemap><loc>m.xml</loc></sitemap></sitemapindex>\n"), (5, '<s:urlset xmlns:s="http://s.example/x"><s:url><s:loc>https://a/ar/services/5?a=1&amp;b=2</s:loc></s:url></s:urlset>'), (6, "<urlset>&"), (7, "")]
     maps = spark.createDataFrame(rows, "sitemap_id bigint, xml string")
-    assert names(src.sitemap_urls(maps)) == ["https://a/ar/services/1"] * 2 and names(src.sitemap_children(maps)) == ["m.xml"]
+    assert names(src.sitemap_urls(maps)) == ["https://a/ar/services/1"] * 2 + ["https://a/ar/services/5?a=1&b=2"] and names(src.sitemap_children(maps)) == ["m.xml"]
 
 
 def test_fetching_folds_errors(spark):
@@ -116,7 +116,9 @@ def test_folders_and_samples(spark, tmp_path, docs):
     (tmp_path / "b.bin").write_text("z")
     assert [r["text"] for r in src.read_folder(spark, str(tmp_path)).collect()] == ["x\ny"]
     td.write_texts(docs, str(tmp_path / "out"))
-    assert sorted(r["text"] for r in spark.read.text(str(tmp_path / "out"), wholetext=True).selectExpr("value text").collect()) == ["Source URL: a\n\nt1\n", "Source URL: d\n\nt4\n"]
+    packed = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(r["body"] for r in packed.collect()) == ["Source URL: a\n\nt1", "Source URL: d\n\nt4"]
+    assert td.unpack_texts(packed, str(tmp_path / "files")).count() == 2 and (tmp_path / "files" / "doc_1.txt").read_text() == "Source URL: a\n\nt1"
     assert [r["filename"] for r in td.export_texts(docs).orderBy("filename").collect()] == ["doc_1.txt", "doc_4.txt"]
 
 
@@ -134,7 +136,7 @@ def test_chat_samples(spark):
     assert [tuple(r) for r in td.think_split(samples).orderBy("sample_id").collect()] == [(1, "t", "a"), (4, None, "None")]
     assert td.chat_to_qfs(samples).first()["text"].endswith("### Input:\nu\n\n### Response:\na<|im_end|>")
     raw = spark.createDataFrame([(1, '{"question":"q","final_response":"r"}'), (2, '{"question":"q"}'), (3, "{"), (4, None)], "doc_id bigint, raw string")
-    assert [tuple(r) for r in td.parse_answers(raw).collect()] == [(1, "", "q", "r")]
+    assert [tuple(r) for r in td.parse_answers(raw).collect()] == [(1, "q", "<think>Answer generated based on context.</think>", "r", "<think>Answer generated based on context.</think>\nr")]
 
 
 def test_stream_upserts_whole_versions(spark, tmp_path, docs):
@@ -150,3 +152,78 @@ def test_stream_upserts_whole_versions(spark, tmp_path, docs):
     stream()
     second = {r["url"]: r for r in table.read(2).collect()}
     assert second["n"]["content_text"] == "now" and second["n"]["id"] == 5 and len(second) == 5
+
+
+def test_answers_become_conversations(spark):
+    rows = [(1, "c", '{"question": "q", "final_response": "r", "thought_process": "<think>t</think>"}'), (2, "c", '{"question": "q", "final_response": "r"}'), (3, "c", '{"question": "q"}'), (4, "c", "{cut"), (5, "c", None)]
+    out = td.conversations(td.parse_answers(spark.createDataFrame(rows, "sample_id bigint, context string, raw string")), "system")
+    said = {r["sample_id"]: [t["content"] for t in r["conversations"]] for r in out.collect()}
+    assert said == {1: ["system", "السياق:\nc\n\nالسؤال:\nq", "<think>t</think>\nr"], 2: ["system", "السياق:\nc\n\nالسؤال:\nq", "<think>Answer generated based on context.</think>\nr"]}
+
+
+def test_teacher_prompts(spark):
+    from qirtas.functions.text import teacher_prompt
+
+    row = spark.range(1).select(teacher_prompt(F.lit("abcdef"), "Ask.", 3, F.lit("f.txt")).alias("a"), teacher_prompt(F.lit("abc"), "Say.", 2, question=F.lit("q?")).alias("b")).first()
+    assert row["a"] == "CONTEXT FROM FILE (f.txt):\nabc\n\nINSTRUCTION:\nAsk." and row["b"] == 'CONTEXT:\nab\n\nUSER QUESTION:\n"q?"\n\nINSTRUCTION:\nSay.'
+
+
+def test_truth_look_ups(spark):
+    truth = src.GroundTruth(src.ground_truth(spark.createDataFrame([(1, "q", None, [3, 3], None), (2, "p", "d", None, None)], "id bigint, query string, description string, relevant_docs array<bigint>, highly_relevant array<bigint>")))
+    assert truth.count() == 2 and truth.has("q") and not truth.has("x") and truth.get("q").first()["relevant_docs"] == [3] and sorted(r[0] for r in truth.list().collect()) == ["p", "q"]
+
+
+def test_fewer_embeddings_than_documents_warn(spark, tmp_path):
+    src.write_embeddings(spark.createDataFrame([(1, [1.0])], "doc_id bigint, embedding array<float>"), str(tmp_path), "gemma", "m1")
+    with pytest.warns(UserWarning, match="1 embeddings for 2"):
+        assert src.read_embeddings(spark, str(tmp_path), "gemma", "m1", 2).count() == 1
+
+
+PAGE = "<html><body><nav>menu</nav><a href='/ar/services'>الخدمات</a><h1>T {}</h1></body></html>"
+SITE = {
+    "s/": PAGE.format("home"), "s/sitemap.xml": "<sitemapindex><sitemap><loc>s/a.xml</loc></sitemap><sitemap><loc>s/gone.xml</loc></sitemap><sitemap><loc>s/b.xml</loc></sitemap></sitemapindex>",
+    "s/a.xml": "<urlset><url><loc>s/ar/services/2</loc></url><url><loc>s/ar/services/1</loc></url><url><loc>s/ar/news/9</loc></url></urlset>", "s/b.xml": "<urlset><url><loc>s/ar/services/3</loc></url><url><loc>s/ar/services/2</loc></url><url><loc>s/ar/services/4</loc></url></urlset>",
+    "s/ar/services/1": PAGE.format(1), "s/ar/services/2": PAGE.format(2), "s/ar/services/3": "no page",
+}
+
+
+def site():
+    pages = dict(SITE)
+
+    def make():
+        def fetch(url):
+            if url == "s/ar/services/4":
+                raise TimeoutError("too slow")
+            return (pages[url], 200, None) if url in pages else ("<body>gone</body>", 404, None)
+
+        return fetch
+
+    return make
+
+
+def test_a_crawl_from_end_to_end(spark, tmp_path):
+    from qirtas.plans import crawl as cr
+
+    bot = cr.SitemapBot("site", site(), "s/", "s/sitemap.xml", "s/ar/services/1")
+    assert [r["url"][-1] for r in bot.urls(spark).orderBy("position").collect()] == list("21324")
+    empty = spark.createDataFrame([], src.DOCUMENT_SCHEMA)
+    run = cr.crawl(bot, empty, site(), delay=0, now=NOW, folder=str(tmp_path))
+    assert run.failed == [] and [c[0] for c in run.checks][-2:] == ["fetcher", "site preflight"] and run.counters == {"total": 4, "success": 2, "failed": 2, "skipped": 0}
+    rows = {r["url"][-1]: r for r in run.documents.collect()}
+    assert (rows["1"]["content_text"], rows["1"]["crawl_status"]) == ("[الخدمات](/ar/services)\n# T 1", "success")
+    assert (rows["3"]["content_raw"], rows["3"]["error_message"]) == ("no page", "Parsing failed: no content extracted") and (rows["4"]["content_raw"], rows["4"]["http_status"], rows["4"]["error_message"]) == (None, 0, "too slow")
+    again = cr.crawl(bot, run.documents, site(), delay=0, now=NOW, run_preflight=False, max_pages=1)
+    assert again.counters["total"] == 1 and again.documents.count() == 4
+    none = cr.crawl(bot, run.documents, site(), delay=0, retry_failed=True, max_pages=None, run_preflight=False)
+    assert none.counters == {"total": 2, "success": 0, "failed": 2, "skipped": 0}
+
+
+def test_failing_checks_stop_a_crawl(spark):
+    from qirtas.plans import crawl as cr
+
+    empty = spark.createDataFrame([], src.DOCUMENT_SCHEMA)
+    for home, sample, why in (("x", "s/", "Main site failed: 404, None"), ("s/", "s/ar/services/3", "Parsing failed: no content extracted")):
+        run = cr.crawl(cr.SitemapBot("site", site(), home, "s/sitemap.xml", sample), empty, site(), delay=0)
+        assert run.documents is None and run.counters == cr.NOTHING and run.failed == [f"site preflight: {why}"]
+    assert cr.site_test("t", lambda: 1 / 0) == ("t", False, "Exception: division by zero")
+    assert cr.ListBot("list", spark.createDataFrame([("a",)], "url string")).check() == (True, "list lists addresses")
