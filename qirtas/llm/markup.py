@@ -1,26 +1,32 @@
 """Markup residue to clean text that keeps its structure (problem 6).
 
-A scanner proposes spans that may be HTML, Markdown, wiki or LaTeX constructs. A linear classifier gives each span the costs
-of being markup and of being text; these are the terminal capacities of a graph, in which neighbouring spans of one kind and
-the two ends of a paired construct are tied by smoothness edges. A minimum cut labels them, and what is markup is converted.
+A scanner proposes every mark that HTML, Markdown, wiki or LaTeX use, in a construct or bare. A mark by itself says little: its
+cost of being markup or text is that of its character wherever it stands. The shape around it is a node of its own with costs of
+its own, and both are tied by an edge; further edges tie neighbouring marks of one kind, and the two ends of a paired construct,
+be they lines, environments or elements. These costs are terminal capacities, a minimum cut labels all nodes together, and what
+is markup is converted. Costs are learned from pages whose own HTML shows what of their text is residue.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches
+from .main_body import raw_blocks
 from .min_cut import label
+from .template_residue import _FIELD
 
 KINDS = ("html", "markdown", "wiki", "latex")
 
 _SCAN = re.compile(
     r"""
-    (?P<html_comment><!--.*?-->)
+    (?P<html_script><(?P<sc>script|style)\b[^<>]*>.*?</(?P=sc)\s*>)
+  | (?P<html_comment><!--.*?-->)
   | (?P<html_tag></?[a-zA-Z][a-zA-Z0-9]*(?:\s+[a-zA-Z:-]+(?:\s*=\s*(?:"[^"\n]*"|'[^'\n]*'|[^\s"'<>]+))?)*\s*/?>)
   | (?P<html_escaped>&lt;/?[a-zA-Z][a-zA-Z0-9]*(?:\s[^&\n]*?)?/?&gt;)
   | (?P<html_entity>&(?:[a-zA-Z][a-zA-Z0-9]{1,30}|\#\d{1,7}|\#[xX][0-9a-fA-F]{1,6});)
@@ -35,7 +41,7 @@ _SCAN = re.compile(
   | (?P<markdown_image>!\[[^\]\n]*\]\([^)\n]*\))
   | (?P<markdown_link>(?<![\[!\w])\[[^\[\]\n]+\]\([^()\s]*(?:\s"[^"\n]*")?\))
   | (?P<markdown_strong>(?<![*\w])\*\*(?=\S)[^*\n]+?(?<=\S)\*\*(?![*\w])|(?<![_\w])__(?=[^\s_])[^_\n]+?(?<=[^\s_])__(?![_\w]))
-  | (?P<markdown_emphasis>(?<![*\w\\])\*(?=[^\s*])[^*\n]{1,80}?(?<=[^\s*])\*(?![*\w.]))
+  | (?P<markdown_emphasis>(?<![*\w\\])\*(?=[^\s*])[^*\n]+?(?<=[^\s*])\*(?![*\w.]))
   | (?P<markdown_strike>~~(?=\S)[^~\n]+?(?<=\S)~~)
   | (?P<markdown_code>(?<!`)`[^`\n]+`(?!`))
   | (?P<wiki_heading>^[ ]*(?P<eq>={1,6})[ ]?[^=\n]+?[ ]?(?P=eq)[ ]*$)
@@ -53,6 +59,10 @@ _SCAN = re.compile(
   | (?P<latex_command>\\[a-zA-Z]+\*?(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})+)
   | (?P<latex_row>[ ]*\\\\[ ]*(?:\\hline[ ]*)?$)
   | (?P<latex_word>\\(?:hline|centering|noindent|newpage|maketitle|par|ldots|item)\b)
+  | (?P<bare_html>[<>])
+  | (?P<bare_wiki>\[\[[^\[\]\n]*\]\]|\{\{?[^{}\n]*\}\}?|=+)
+  | (?P<bare_markdown>\[[^\[\]\n]*\]|\#+\w*|\*+|~~|`)
+  | (?P<bare_latex>\$|\\[a-zA-Z]+)
     """,
     re.X | re.M | re.S,
 )
@@ -63,45 +73,84 @@ _PAIRS = {r"\]": r"\[", r"\)": r"\("}
 _IN_MATH, _WHOLE = re.compile(r"\\[a-zA-Z]|[_^]"), re.compile(".*", re.S)
 _MAYBE = re.compile(r"[<&*`~\\$\[{']|^[ ]{0,8}(?:[#=>+:;|-]|\d+\.)|__", re.M)
 
-#: Cost of calling a span text, less the cost of calling it markup. Small values need support from the spans around them.
-WEIGHTS = {
-    "html_comment": 4, "html_tag": 4, "html_escaped": 3, "html_entity": 3,
-    "markdown_fence": 4, "markdown_heading": 3, "markdown_setext": 1.5, "markdown_rule": 1, "markdown_table": 3, "markdown_quote": 2, "markdown_bullet": 0.6, "markdown_number": 0.6,
-    "markdown_image": 4, "markdown_link": 4, "markdown_strong": 3, "markdown_emphasis": 0.5, "markdown_strike": 3, "markdown_code": 3,
-    "wiki_heading": 3, "wiki_quotes": 3, "wiki_template": 4, "wiki_link": 4, "wiki_external": 3, "wiki_list": 2, "wiki_table": 3, "wiki_switch": 2,
-    "latex_verbatim": 4, "latex_display": 3, "latex_math": 3, "latex_environment": 4, "latex_section": 4, "latex_item": 3, "latex_command": 3, "latex_row": 2, "latex_word": 2,
-}
-#: Edges: to the next span of the same kind within so many characters, and between two ends of a pair.
-NEAR, ADJACENT, PAIRED = 400, 0.4, 1.0
+#: Edges: between a mark and its shape, to the next mark of the same kind within so many characters, and between two ends of a pair.
+SHAPE, NEAR, ADJACENT, PAIRED = 3.0, 400, 0.4, 1.0
+#: Costs are log odds, smoothed by these counts (markup, text): of whole constructs, of bare marks and odd shapes. They end at these values.
+WHOLE, BARE, DEFINITION = (25.0, 1.0), (1.0, 25.0), (10.0, 13.5)
+MOST_SHAPE, MOST_MARK = 4.0, 1.5
+#: Labelled pages that the costs are learned from at most, and the lengths of their texts and of their markup.
+TRAIN_PAGES, TRAIN_TEXT, TRAIN_MARKUP = 1000, 10_000, 40_000
 _TAGS = frozenset(
     "a abbr address article aside b big blockquote body br button caption center cite code col dd del details dfn div dl dt em fieldset figcaption figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label legend li link main mark meta nav noscript object ol option p param pre q s samp script section select small span strike strong style sub summary sup table tbody td textarea tfoot th thead time title tr tt u ul var video wbr".split()
 )
 _BLOCK_TAGS = frozenset("ul ol table tbody thead tr div p br hr section article blockquote".split())
 
 
-def _cost(kind: str, m: re.Match, text: str) -> float:
-    """The classifier: the weight of the construct and what stands around it."""
-    w, found = WEIGHTS[kind], m[0]
+def _shape(kind: str, m: re.Match, text: str) -> str:
+    """The construct a mark stands in, with `:odd` where what stands in it or around it doesn't fit."""
+    found, odd = m[0], False
     if kind == "html_tag":
-        name = re.match(r"</?([a-zA-Z0-9]+)", found)[1].lower()
-        return w if name in _TAGS else -2.0
-    if kind == "html_entity":
-        return w if html.unescape(found) != found else -2.0
-    if kind == "markdown_setext":
+        odd = re.match(r"</?([a-zA-Z0-9]+)", found)[1].lower() not in _TAGS
+    elif kind == "html_entity":
+        odd = html.unescape(found) == found
+    elif kind == "markdown_setext":
         # An underline belongs to a line of text above it.
         above = text[: m.start()].rstrip("\n").rsplit("\n", 1)[-1].strip()
-        if not above or above.startswith("|"):
-            return -1.0
-        return w + 1.5
-    if kind == "markdown_table":
-        return w if found.count("|") >= 3 or re.search(r"[^\s|]", found) else -1.0
-    if kind == "markdown_bullet":
-        return w if not re.match(r"\s*[-+*]\s*[\d.,]+\s*$", text[m.start() : text.find("\n", m.end()) if text.find("\n", m.end()) >= 0 else len(text)]) else -1.0
-    if kind == "wiki_list":
-        return w if any(c in found for c in "*#") else -0.3
-    if kind == "wiki_heading":
-        return w if re.search(r"[^\W\d_]", found) else -1.0
-    return w
+        odd = not above or above.startswith("|")
+    elif kind == "markdown_table":
+        odd = found.count("|") < 3 and not re.search(r"[^\s|]", found)
+    elif kind == "markdown_bullet":
+        end = text.find("\n", m.end())
+        odd = bool(re.match(r"\s*[-+*]\s*[\d.,]+\s*$", text[m.start() : end if end >= 0 else len(text)]))
+    elif kind == "markdown_number":
+        odd = len(found.strip(" .")) > 2  # a year or a code
+    elif kind == "markdown_strong":
+        odd = found[0] == "_" and found.isascii() and found.isidentifier()  # a name of a program
+    elif kind == "wiki_list":
+        odd = not any(c in found for c in "*#")
+    elif kind == "wiki_heading":
+        odd = not re.search(r"[^\W\d_]", found)
+    elif kind.startswith("bare"):
+        kind += _mark(m)
+    return kind + ":odd" if odd else kind
+
+
+def _mark(m: re.Match) -> str:
+    """The character that makes a span suspect."""
+    first = m[0].lstrip()[:1]
+    return "1" if first.isdigit() else "-" if first in "-+" else "'" if first == "'" else first or " "
+
+
+class Costs:
+    """Costs of marks and shapes from counts (name -> (markup, text)); without counts, marks cost nothing and shapes their prior."""
+
+    def __init__(self, counts: dict[str, tuple[int, int]] | None = None):
+        self.counts = counts or {}
+        self.kept: dict[str, float] = {}
+
+    def __call__(self, name: str) -> float:
+        cost = self.kept.get(name)
+        if cost is None:
+            yes, no = self.counts.get(name, (0, 0))
+            mark = len(name) == 1
+            p, q = (1.0, 1.0) if mark else DEFINITION if name == "wiki_list:odd" else BARE if name.startswith("bare") or name.endswith(":odd") else WHOLE
+            most = MOST_MARK if mark else MOST_SHAPE
+            cost = self.kept[name] = min(max(math.log((yes + p) / (no + q)), -most), most)
+        return cost
+
+
+PRIOR = Costs()
+
+
+def weak_labels(text: str, shown: str) -> list[tuple[str, str, bool]]:
+    """(mark, shape, is markup) of the marks of a text, given what the page's own HTML shows, with single blanks: a mark that a
+    reader of the page would see where the text has it is text, all others are residue."""
+    out = []
+    for m, kind in _candidates(text):
+        low, high = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
+        around = " ".join(text[max(low, m.start() - 10) : min(high if high >= 0 else len(text), m.end() + 10)].split())
+        out.append((_mark(m), _shape(kind, m, text), around not in shown))
+    return out
 
 
 def _dollars(text: str, start: int, end: int, width: int) -> bool:
@@ -149,7 +198,7 @@ def _candidates(text: str) -> list[tuple[re.Match, str]]:
     found, at, m = [], 0, _SCAN.search(text)
     for start, end, kind in [*formulas(text), (len(text) + 1, 0, "")]:
         while m and m.start() < start and start >= at:
-            found.append((m, m.lastgroup if m.lastgroup != "eq" else "wiki_heading"))
+            found.append((m, {"eq": "wiki_heading", "sc": "html_script"}.get(m.lastgroup, m.lastgroup)))
             at = m.end()
             m = _SCAN.search(text, at)
         if at <= start <= len(text):
@@ -160,17 +209,14 @@ def _candidates(text: str) -> list[tuple[re.Match, str]]:
     return found
 
 
-def spans(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, construct) of the markup in a text, in order."""
-    if not _MAYBE.search(text):
-        return []
+def graph(text: str, costs: Costs = PRIOR) -> tuple[list[tuple[re.Match, str]], list[tuple[float, float]], list[tuple[int, int, float]]]:
+    """The candidates of a text; the costs (as text, as markup) of their marks and, after these, of their shapes; the edges."""
     found = _candidates(text)
-    if not found:
-        return []
-    costs = [(c, 0.0) if (c := _cost(k, m, text)) > 0 else (0.0, -c) for m, k in found]
-    edges, last, opened = [], {}, {}
+    n = len(found)
+    wanted = [costs(_mark(m)) for m, _ in found] + [costs(_shape(k, m, text)) for m, k in found]
+    edges, last, opened = [(i, n + i, SHAPE) for i in range(n)], {}, {}
     for i, (m, k) in enumerate(found):
-        kind = k.split("_")[0]
+        kind = kind_of(k)
         if kind in last and m.start() - found[last[kind]][0].end() <= NEAR:
             edges.append((last[kind], i, ADJACENT))
         last[kind] = i
@@ -181,12 +227,25 @@ def spans(text: str) -> list[tuple[int, int, str]]:
                 edges.append((opened[name].pop(), i, PAIRED))
             else:
                 opened.setdefault(name, []).append(i)
-    return [(m.start(), m.end(), k) for (m, k), yes in zip(found, label(costs, edges)) if yes]
+    return found, [(c, 0.0) if c > 0 else (0.0, -c) for c in wanted], edges
+
+
+def kind_of(construct: str) -> str:
+    """html, markdown, wiki or latex."""
+    return construct.removeprefix("bare_").split("_")[0]
+
+
+def spans(text: str, costs: Costs = PRIOR) -> list[tuple[int, int, str]]:
+    """(start, end, construct) of the markup in a text, in order."""
+    if not _MAYBE.search(text):
+        return []
+    found, nodes, edges = graph(text, costs)
+    return [(m.start(), m.end(), k) for (m, k), yes in zip(found, label(nodes, edges)) if yes]
 
 
 def kinds_of(text: str) -> list[str]:
     """Which of html, markdown, wiki and latex the text has constructs of."""
-    found = {k.split("_")[0] for _, _, k in spans(text)}
+    found = {kind_of(k) for _, _, k in spans(text)}
     return [k for k in KINDS if k in found]
 
 
@@ -206,7 +265,7 @@ def _convert(kind: str, s: str, at_line_start: bool) -> str:
         return ""
     if kind == "html_entity":
         return html.unescape(s).replace("\u00a0", " ")
-    if kind in ("html_comment", "html_escaped", "markdown_image", "markdown_setext", "wiki_table", "wiki_switch", "latex_environment", "latex_word", "latex_row", "markdown_rule"):
+    if kind in ("html_script", "html_comment", "html_escaped", "markdown_image", "markdown_setext", "wiki_table", "wiki_switch", "latex_environment", "latex_word", "latex_row", "markdown_rule"):
         return re.match(r"!\[([^\]]*)", s)[1] if kind == "markdown_image" else ""
     if kind == "markdown_link":
         return re.match(r"\[([^\]]*)", s)[1]
@@ -244,9 +303,9 @@ def _convert(kind: str, s: str, at_line_start: bool) -> str:
     return s  # headings, numbers, fences, code and formulas already have the form that stays
 
 
-def clean_text(text: str) -> tuple[str, list[str]]:
+def clean_text(text: str, costs: Costs = PRIOR) -> tuple[str, list[str]]:
     """Clean text with `#` headings, `-` and `1.` lists, ` | ` table cells, fenced code and `$` formulas; the kinds found."""
-    found = spans(text)
+    found = spans(text, costs)
     if not found:
         return text, []
     # Formulas stay as they are: a character that the text has not stands for them until all else is clean.
@@ -276,19 +335,37 @@ def clean_text(text: str) -> tuple[str, list[str]]:
     clean = re.sub(r"\n{3,}", "\n\n", clean).strip("\n")
     if kept:
         clean = "".join(a + b for a, b in zip(clean.split(stand_in), [*kept, ""]))
-    return clean, [k for k in KINDS if any(x[2].startswith(k) for x in found)]
+    return clean, [k for k in KINDS if any(kind_of(x[2]) == k for x in found)]
+
+
+def learn_costs(df: DataFrame, raw_col: str = "content_raw", text_col: str = "content_text") -> Costs:
+    """Costs from at most TRAIN_PAGES pages with markup, of bounded lengths and without unfilled fields, as their first rows come.
+    Where there are none, the costs are the prior ones."""
+    raw, text = F.col(raw_col), F.col(text_col)
+    sample = df.select(raw.alias("raw"), text.alias("text")).where((F.length("text") <= TRAIN_TEXT) & (F.length("raw") <= TRAIN_MARKUP)).limit(TRAIN_PAGES)
+    counts: dict[str, list[int]] = {}
+    for page in sample.collect():
+        if _FIELD.search(page["text"]):
+            continue  # a field may have been put into the text alone
+        shown = " ".join(" ".join(block.split()) for block, _ in raw_blocks(page["raw"]))
+        for mark, shape, yes in weak_labels(page["text"], shown):
+            for name in (mark, shape):
+                counts.setdefault(name, [0, 0])[not yes] += 1
+    return Costs({k: (a, b) for k, (a, b) in counts.items()})
 
 
-def clean_markup(df: DataFrame, id_col: str = "id", text_col: str = "content_text") -> DataFrame:
+def clean_markup(df: DataFrame, id_col: str = "id", text_col: str = "content_text", raw_col: str = "content_raw") -> DataFrame:
     """(id, clean_text, markup): each text without markup and the kinds it had.
 
-    A null text stays null with no kinds, an empty one stays empty; repeated rows stay; other columns are ignored.
+    A null text stays null with no kinds, an empty one stays empty; repeated rows stay; other columns are ignored. Without the
+    column of the pages' own markup the prior costs hold.
     """
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    costs = learn_costs(df, raw_col, text_col) if raw_col in df.columns else PRIOR
 
     def make():
         def step(batch):
-            done = [(None, []) if t is None else clean_text(t) for t in batch.column(1).to_pylist()]
+            done = [(None, []) if t is None else clean_text(t, costs) for t in batch.column(1).to_pylist()]
             return batch.column(0), [d[0] for d in done], [d[1] for d in done]
 
         return step

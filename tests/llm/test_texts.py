@@ -159,6 +159,27 @@ def test_markup_becomes_clean_text(text, clean, kinds):
     assert markup.clean_text(text) == (text if clean is None else clean, kinds)
 
 
+@pytest.mark.parametrize("text, clean", [("call __init__ of it", None), ("2024. Annual report", None), ("a<script>alert(1)</script>b", "ab"), ("**a phrase that is in bold and of more than eighty characters, as it goes on and on and on**", "a phrase that is in bold and of more than eighty characters, as it goes on and on and on"), ("*" + "word " * 40 + "end*", "word " * 40 + "end")])
+def test_names_years_scripts_and_long_emphasis(text, clean):
+    assert markup.clean_text(text)[0] == (text if clean is None else clean)
+
+
+LEARNED = markup.Costs({"[": (900, 100), "#": (900, 30), "$": (90, 20), "<": (5000, 80), "*": (700, 20), "bare_markdown[": (0, 90), "bare_markdown#": (1, 30), "bare_latex$": (0, 20), "bare_html<": (0, 40), "bare_html>": (0, 40), "bare_markdown*": (0, 20)})
+BARE = "file #516 costs $ 203 [1] if age < 18 *."
+
+
+def test_the_cut_decides_what_marks_are(monkeypatch):
+    assert markup.clean_text(BARE + "\n# Fees\n[x](/y) and <b>z</b>", LEARNED) == (BARE + "\n# Fees\nx and z", ["html", "markdown"])
+    assert markup.clean_text(BARE + "\n`x`", LEARNED)[1] == ["markdown"]
+    monkeypatch.setattr(markup, "label", lambda nodes, edges: [a > b for a, b in nodes])
+    assert markup.clean_text(BARE + "\n`x`", LEARNED)[1] == ["html", "markdown", "latex"]
+
+
+def test_weak_labels_tell_residue_from_text():
+    said = {(mark, shape): yes for mark, shape, yes in markup.weak_labels("pay [1] and then come back **now**", "pay [1] and then come back now")}
+    assert said == {("[", "bare_markdown["): False, ("*", "markdown_strong"): True}
+
+
 LONG = " + ".join([r"\frac{a}{b}"] * 300)
 
 
