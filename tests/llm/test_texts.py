@@ -36,6 +36,15 @@ def test_pieces_end_at_the_coarsest_boundary():
         splitting.split_text("x", 10, 10)
 
 
+def test_the_next_piece_begins_at_a_sentence_or_a_word():
+    text = "".join(f"Sentence number {k} is here. " for k in range(100))
+    pieces = splitting.split_text(text, 400, 80, 40)
+    assert len(pieces) > 5 and all(text[a:].startswith("Sentence") and end - a <= 80 for (_, end, _), (a, _, _) in zip(pieces, pieces[1:]))
+    words = "word " * 400
+    pieces = splitting.split_text(words, 400, 80, 40)
+    assert all(end - a == 80 for (_, end, _), (a, _, _) in zip(pieces, pieces[1:]))  # a word begins there already
+
+
 # ---- Gray index
 def test_gray_neighbours_differ_in_one_bit():
     codes = np.array([[0, g ^ (g >> 1)] for g in range(64)], dtype=np.uint64)
@@ -76,6 +85,9 @@ def test_fingerprints_of_similar_texts_are_near():
 
 
 # ---- look-alikes
+NAMED = lookalikes.Forms(names=frozenset(["فارسی", "اردو"]))
+
+
 @pytest.mark.parametrize(
     "line, clean",
     [
@@ -84,7 +96,13 @@ def test_fingerprints_of_similar_texts_are_near():
     ],
 )
 def test_lines_in_one_form(line, clean):
-    assert lookalikes.clean_line(line) == (line if clean is None else clean)
+    assert lookalikes.clean_line(line, NAMED) == (line if clean is None else clean)
+
+
+@pytest.mark.parametrize("line, clean", [("\U0001d41a\U0001d41b", "ab"), ("ⓐⓑ", "ab"), ("ⅷ", "viii"), ("Ꭺbc", "Abc"), ("ʜello", "hello"), ("сора of the town", "copa of the town"), ("e\u200b\u0301", "é"), ("ﻻ\u0654", "لأ"), ("cafе\u0301", "café"), ("a\u3000b", "a b"), ("© Русский", None), ("العربية · English · فارسی · اردو · Русский", None), ("naïve Müller ﬁne", "naïve Müller fine"), ("x² ½ ①", None)])
+def test_lines_by_the_public_table(spark, line, clean):
+    found = lookalikes.clean_line(line, lookalikes.platform_forms())
+    assert found == (line if clean is None else clean) and lookalikes.clean_line(found, lookalikes.platform_forms()) == found
 
 
 def test_conflicting_rules_are_refused():
