@@ -9,9 +9,10 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -27,22 +28,36 @@ CAP_BITS = 9.0
 #: Standard deviations above the mean cross-entropy of held-out paragraphs at which a paragraph is rejected.
 REJECT_SIGMAS = 6.0
 
-# Three-letter codes of ISO 639-2 and 639-3, and codes for an unknown language.
-THREE_LETTERS = {
-    "ara": "ar", "eng": "en", "fra": "fr", "fre": "fr", "spa": "es", "urd": "ur", "fas": "fa", "per": "fa", "pes": "fa", "tur": "tr", "ind": "id",
-    "deu": "de", "ger": "de", "ita": "it", "por": "pt", "rus": "ru", "zho": "zh", "chi": "zh", "jpn": "ja", "kor": "ko", "hin": "hi", "ben": "bn", "msa": "ms", "may": "ms", "nld": "nl", "dut": "nl", "pol": "pl", "ukr": "uk", "heb": "he", "kur": "ku", "pus": "ps", "swa": "sw", "vie": "vi", "tha": "th", "ell": "el", "gre": "el", "swe": "sv", "ces": "cs", "cze": "cs", "ron": "ro", "rum": "ro", "hun": "hu",
+# Three-letter codes that the platform's table of languages lacks: bibliographic ones, and of single languages of a group.
+MORE_CODES = {
+    "alb": "sq", "arm": "hy", "baq": "eu", "bur": "my", "chi": "zh", "cze": "cs", "dut": "nl", "fre": "fr", "geo": "ka", "ger": "de", "gre": "el", "ice": "is", "mac": "mk", "mao": "mi", "may": "ms", "per": "fa", "rum": "ro", "slo": "sk", "tib": "bo", "wel": "cy",
+    "arb": "ar", "cmn": "zh", "pes": "fa", "prs": "fa", "zsm": "ms", "ind": "id", "heb": "he", "yid": "yi",
 }
+# Codes for an unknown language.
 UNDETERMINED = ("", "und", "unknown", "unk", "xx", "xxx", "zxx", "mis", "mul", "none", "null", "nan", "n/a", "na", "-", "?", "undefined", "undetermined")
 
 _WORD = re.compile(r"[^\W\d_]+")
 _BREAK = re.compile(r"\n[^\S\n]*\n\s*")
 
 
+@lru_cache(1)
+def three_letters() -> dict[str, str]:
+    """Three-letter to two-letter codes: all of ISO 639, as the platform has them, and MORE_CODES."""
+    jvm = SparkSession.active()._jvm
+    found = {}
+    for code in jvm.java.util.Locale.getISOLanguages():
+        try:
+            found[jvm.java.util.Locale(code).getISO3Language()] = code
+        except Exception:  # noqa: BLE001, S112
+            continue  # a language without such a code
+    return found | MORE_CODES
+
+
 def label_code(label: Column) -> Column:
     """Two-letter code of a delivered label, without regard to case, spaces and region; null where it names no language."""
     plain = F.lower(F.trim(F.regexp_replace(label, r"\s+", " ")))
     base = F.regexp_replace(plain, r"[-_].*$", "")
-    pairs = [x for k, v in THREE_LETTERS.items() for x in (F.lit(k), F.lit(v))]
+    pairs = [x for k, v in three_letters().items() for x in (F.lit(k), F.lit(v))]
     code = F.coalesce(F.create_map(*pairs)[base], base)
     return F.when(plain.isin(*UNDETERMINED) | base.isin(*UNDETERMINED), F.lit(None)).otherwise(code)
 

@@ -8,6 +8,7 @@ are checked for runs of equal words, and for paraphrases by their longest common
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -22,8 +23,8 @@ RUN = 10
 LATENT, EXTRA, COSINE = 128, 16, 0.5
 #: Share of an item passage's words, in order, and of its figures that a paraphrase must have.
 SUBSEQUENCE, FIGURES = 0.6, 0.5
-#: The items are held on the driver and sent to every task; more words than these are refused.
-MOST_ITEM_WORDS = 2_000_000
+#: The items are held on the driver and sent to every task in slices of so many words, one slice after the other.
+ITEM_WORDS = 200_000
 
 _FOLD = str.maketrans({c: "ا" for c in "أإآٱ"} | {"ى": "ي", "ة": "ه", "ؤ": "و", "ئ": "ي", "ی": "ي"} | {chr(z + i): str(i) for z in (0x660, 0x6F0) for i in range(10)})
 _FIGURE = re.compile(r"\d+")
@@ -64,8 +65,6 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, list[str]]], run: int = RUN):
         folded = [(i, [fold_words(t) for t in texts if t]) for i, texts in rows]
-        if sum(len(t) for _, texts in folded for t in texts) > MOST_ITEM_WORDS:
-            raise ValueError(f"the items have more than {MOST_ITEM_WORDS} words")
         self.run = run
         self.words = sorted({w for _, texts in folded for t in texts for w in t})
         self.vocabulary = {w: k for k, w in enumerate(self.words)}
@@ -145,7 +144,7 @@ def _flat(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Leakage:
-    """Leaks of items `(item_id, texts)` into a table of texts. The items are few and bounded (MOST_ITEM_WORDS).
+    """Leaks of one slice of items `(item_id, texts)` into a table of texts; leaks() takes a table of items of any size.
 
     Null texts and ids give nothing; texts and items shorter than a run can't leak one. Repeated rows count as one document;
     an empty table on either side gives no rows; other columns are ignored.
@@ -198,7 +197,8 @@ class Leakage:
             columns = rows()
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, target)], schema=target)
 
-        return self.coded.select("ids").mapInArrow(run, schema)
+        # Each task adds up what it reads, and there are no more tasks than the cluster runs twice over, whatever the input.
+        return self.coded.select("ids").coalesce(2 * self.spark.sparkContext.defaultParallelism).mapInArrow(run, schema)
 
     def _document_frequencies(self) -> np.ndarray:
         size, run = len(self.items.words), self.run
@@ -302,7 +302,7 @@ class Leakage:
                             hashes[k] = {i for h in run_hashes(ids[start[k] : end[k]], run).tolist() for i in items.runs.get(h, ())}
                         exact = exact or item in hashes[k]
                         q = items.passages[top[k][1]]
-                        if not exact and top[k][0] >= 0.5:
+                        if not exact:
                             share = max(share, common_subsequence(q.tolist(), ids[start[k] : end[k]].tolist()) / len(q))
                             own = set(q.tolist()) & items.figures
                             figures = max(figures, len(own & set(ids[start[k] : end[k]].tolist())) / len(own) if own else 1.0)
@@ -318,6 +318,31 @@ class Leakage:
         return best.where(leaked) if checked else best
 
 
-def collect_items(items: DataFrame, id_col: str = "item_id", text_cols: tuple[str, ...] = ("context", "question")) -> list[tuple[int, list[str]]]:
-    """The held-out items for Leakage; their number is bounded by what an evaluation holds, and checked there."""
-    return [(r[0], [t for t in r[1:] if t]) for r in items.where(F.col(id_col).isNotNull()).select(id_col, *text_cols).collect()]
+def item_slices(items: DataFrame, id_col: str = "item_id", text_cols: tuple[str, ...] = ("context", "question"), most: int = ITEM_WORDS) -> Iterator[list[tuple[int, list[str]]]]:
+    """The items (item_id, texts) in slices of about `most` words, at least one item each, read one partition at a time."""
+    part, words_ = [], 0
+    for r in items.where(F.col(id_col).isNotNull()).select(id_col, *text_cols).toLocalIterator():
+        texts = [t for t in r[1:] if t]
+        size = sum(len(t.split()) for t in texts)
+        if part and words_ + size > most:
+            yield part
+            part, words_ = [], 0
+        part.append((r[0], texts))
+        words_ += size
+    if part:
+        yield part
+
+
+def leaks(docs: DataFrame, items: DataFrame, checked: bool = True, most: int = ITEM_WORDS, **options) -> DataFrame:
+    """(doc_id, item_id, cosine, words_in_row, subsequence, figures) of a table of items; see Leakage.candidates().
+
+    Every slice of items has its own vocabulary and latent space; all documents are searched for each.
+    """
+    found = None
+    for part in item_slices(items, most=most):
+        own = Leakage(docs, part, **options).candidates(checked)
+        found = own if found is None else found.unionByName(own)
+    if found is None:
+        return Leakage(docs.limit(0), [], **options).candidates(checked)
+    best = found.groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in ("cosine", "words_in_row", "subsequence", "figures")))
+    return best

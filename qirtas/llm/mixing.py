@@ -11,6 +11,7 @@ import base64
 import re
 from functools import lru_cache
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,20 +38,20 @@ def _pattern(path: str) -> str:
 
 
 @lru_cache(maxsize=4)
-def _encoding(path: str):
+def _encoding(path: str, pattern: str):
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
-    return tiktoken.Encoding(path, pat_str=_pattern(path), mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 class TokenCounter:
     """Exact token counts. A token never holds a blank before a letter but at its beginning, so a text may be cut there, and
     the counts of the parts, which repeat, are kept."""
 
-    def __init__(self, path: str = TOKENIZER, keep: int = 400_000):
-        self.encode, self.most, self.seen = _encoding(path).encode_ordinary, keep, {}
+    def __init__(self, path: str = TOKENIZER, keep: int = 400_000, pattern: str | None = None):
+        self.encode, self.most, self.seen = _encoding(path, pattern or _pattern(path)).encode_ordinary, keep, {}
 
     def count(self, text: str) -> int:
         if "  " in text:
@@ -75,8 +76,12 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
     """(doc_id, source, tokens) of each row; 0 tokens for a null or empty text."""
     texts = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
 
+    # The vocabulary is read where the job is started and sent to the workers, which need no path to it.
+    df.sparkSession.sparkContext.addFile(tokenizer)
+    name, pattern = tokenizer.rsplit("/", 1)[-1], _pattern(tokenizer)
+
     def make():
-        counter = TokenCounter(tokenizer)
+        counter = TokenCounter(SparkFiles.get(name), pattern=pattern)
 
         def step(batch):
             return batch.column(0), batch.column(1), [counter.count(t) if t else 0 for t in batch.column(2).to_pylist()]

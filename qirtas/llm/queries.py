@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .language import identify_languages, mislabelled
-from .leakage import Leakage, collect_items
+from .leakage import leaks
 from .lookalikes import unify_lookalikes
 from .main_body import MainBody, main_body
 from .markup import clean_markup
@@ -129,16 +129,16 @@ def p10_segments(spark: SparkSession, sf: str) -> DataFrame:
     return identify_languages(table(spark, sf, "documents")).select("doc_id", "lang", "confidence", F.explode("segments").alias("segment")).select("doc_id", "lang", "confidence", F.col("segment.no").alias("paragraph"), F.col("segment.lang").alias("paragraph_lang"), F.col("segment.confidence").alias("paragraph_confidence"))
 
 
-def _leaks(spark: SparkSession, sf: str) -> Leakage:
-    return Leakage(table(spark, sf, "documents"), collect_items(table(spark, sf, "stress_cases")))
+def _leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks(table(spark, sf, "documents"), table(spark, sf, "stress_cases"))
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _leaks(spark, sf).candidates().where("words_in_row").select("doc_id", "item_id")
+    return _leaks(spark, sf).where("words_in_row").select("doc_id", "item_id")
 
 
 def p8_leaks(spark: SparkSession, sf: str) -> DataFrame:
-    return _leaks(spark, sf).candidates()
+    return _leaks(spark, sf)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -51,14 +51,13 @@ def _ends(text: str, low: int, high: int, level: int, most: int) -> list[tuple[i
 
 
 def _restart(text: str, start: int, end: int, overlap: int, slack: int) -> int:
-    """Where the next piece begins: `overlap` characters before `end`, or up to `slack` later to stay at a boundary."""
+    """Where the next piece begins: `overlap` characters before `end`, or up to `slack` later at the first boundary of the
+    coarsest kind there is, a sentence before a word. A place that already is such a boundary stays."""
     at = max(start + 1, end - overlap)
-    for _, pattern in reversed(LEVELS[2:] if overlap else ()):
-        for m in pattern.finditer(text, at, min(end, at + slack)):
-            if m.end() < end:
+    for _, pattern in LEVELS[2:] if overlap else ():
+        for m in pattern.finditer(text, max(start, at - 8), min(end, at + slack)):
+            if at <= m.end() < end:
                 return m.end()
-    if 0 < at < end and text[at - 1].isspace():
-        return at
     while at < end and _joined(text, at):
         at += 1
     return at

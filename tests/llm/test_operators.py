@@ -172,6 +172,10 @@ def test_leaks_match_brute_force(spark):
     want = {(i, k) for i, w in ((r[0], r[1].lower().split()) for r in rows) for a in range(len(w) - 9) for k in by_run.get(tuple(w[a : a + 10]), ())}
     found = leakage.Leakage(docs(spark, rows), items).candidates().where("words_in_row").collect()
     assert {(r["doc_id"], r["item_id"]) for r in found} == want and len(want) > 10
+    table = spark.createDataFrame([(k, *t) for k, t in items] + [(None, "x", "y"), (99, None, "")], "item_id bigint, context string, question string")
+    sliced = leakage.leaks(docs(spark, rows), table, most=500)
+    assert len(list(leakage.item_slices(table, most=500))) > 2 and {(r["doc_id"], r["item_id"]) for r in sliced.where("words_in_row").collect()} == want
+    assert leakage.leaks(docs(spark, rows), table.limit(0)).collect() == []
 
 
 def test_token_counts_are_those_of_the_tokenizer():
@@ -239,6 +243,12 @@ def furniture_of(spark, rows):
     return {i: sorted(v) for i, v in found.items()}
 
 
+def test_three_letter_labels(spark):
+    labels = [("dan", "da"), ("fin", "fi"), ("NOR ", "no"), ("cat", "ca"), ("fre", "fr"), ("fra", "fr"), ("per", "fa"), ("en-GB", "en"), ("ind", "id"), ("und", None), ("", None), (None, None)]
+    got = spark.createDataFrame([(x,) for x, _ in labels], "x string").select("x", language.label_code(F.col("x")).alias("code")).collect()
+    assert {r["x"]: r["code"] for r in got} == dict(labels)
+
+
 @pytest.mark.parametrize("classes", [("side", "legal"), ("zone-b", "x7")])
 def test_furniture_of_pages(spark, classes):
     rows = furniture_rows(classes)
