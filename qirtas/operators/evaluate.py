@@ -60,7 +60,9 @@ def benchmark(per_query: DataFrame) -> DataFrame:
 
 def numbered_runs(results: DataFrame) -> DataFrame:
     """Results with `run_no`: the runs of each engine and query, counted from 1 in the order of their ids."""
-    return results.withColumn("run_no", F.dense_rank().over(Window.partitionBy("engine", "query_id").orderBy("run_id")))
+    # Only the runs themselves are numbered, not their rows: a query that holds much of the log has few rows here.
+    runs = results.select("engine", "query_id", "run_id").distinct().withColumn("run_no", F.row_number().over(Window.partitionBy("engine", "query_id").orderBy("run_id")))
+    return results.join(runs, ["engine", "query_id", "run_id"])
 
 
 def side_by_side(results: DataFrame, engines: list[str], top: int = 5, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:

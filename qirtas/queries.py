@@ -8,7 +8,6 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .functions import text as tx
 from .functions.text import think_part
@@ -188,10 +187,10 @@ def searched(spark, sf, name):
     return create(name).search(queries_of(spark, sf), corpus(spark, sf), K).select("query_id", "doc_id", "score", "rank")
 
 
-q("keyword_topk", lambda s, sf: searched(s, sf, "keyword"), f"""WITH {DOCS}, {TRUTH},
-    qw AS (SELECT query_id, word, count(*) AS times FROM (SELECT id AS query_id, unnest(list_filter(regexp_split_to_array(lower(query), '[\\t\\n\\x0B\\f\\r\\x{{85}}\\p{{Z}}]+'), lambda t: t <> '')) AS word FROM truth) GROUP BY query_id, word),
+_KEYWORD = f"""qw AS (SELECT query_id, word, count(*) AS times FROM (SELECT id AS query_id, unnest(list_filter(regexp_split_to_array(lower(query), '[\\t\\n\\x0B\\f\\r\\x{{85}}\\p{{Z}}]+'), lambda t: t <> '')) AS word FROM truth) GROUP BY query_id, word),
     kw AS (SELECT query_id, id AS doc_id, CAST(sum(times * ((length(lower(content)) - length(replace(lower(content), word, ''))) // length(word))) AS DOUBLE) AS score FROM qw, docs WHERE contains(lower(content), word) GROUP BY query_id, id),
-    kwr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM kw) {top_sql("kwr")}""")
+    kwr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM kw)"""
+q("keyword_topk", lambda s, sf: searched(s, sf, "keyword"), f"WITH {DOCS}, {TRUTH}, {_KEYWORD} {top_sql('kwr')}")
 q("bm25_topk", lambda s, sf: searched(s, sf, "bm25"), f"WITH {BM} {top_sql('bmr')}")
 for _name in ("vector-gemma", "vector-gemma-faiss", "vector-gemma-int8", "vector-gemma-int8-faiss"):
     q("engine_" + _name.replace("-", "_"), partial(lambda s, sf, n: searched(s, sf, n), n=_name), f"WITH {DOCS}, {TRUTH}, {VEC} {top_sql('ver')}")
@@ -291,17 +290,25 @@ q("engine_mrr_pivot_all", lambda s, sf: ev.mrr_matrix(per_run(s, sf), _LOGGED),
 def first_runs(s, sf):
     """The first run of each engine and query."""
     runs = runs_of(s, sf).where(F.col("engine").isin(_ENGINES))
-    return runs.withColumn("least", F.min("run_id").over(Window.partitionBy("engine", "query_id"))).where("run_id = least").drop("least")
+    return runs.join(runs.groupBy("engine", "query_id").agg(F.min("run_id").alias("run_id")), ["engine", "query_id", "run_id"], "left_semi")
 
 
-q("live_benchmark", lambda s, sf: live(s, sf), None)
+_LIVE = ["keyword", "bm25", "vector-gemma", "hybrid", "hybrid-weighted"]
+_HIT = ", ".join(f"coalesce(max(CASE WHEN r.rank <= {k} AND q.doc_id IS NOT NULL THEN 1.0 END), 0.0)::DOUBLE AS hit_{k}" for k in ev.CUTOFFS)
+q("live_benchmark", lambda s, sf: live(s, sf), f"""WITH {fused_sql(50, RRF.format(k=60, b=0))}, {QRELS}, {_KEYWORD},
+    weighted AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, round(0.5 * n1 + 0.5 * n2, 9) AS score FROM normed)),
+    alls AS (SELECT 'keyword' AS engine, query_id, doc_id, rank FROM kwr UNION ALL SELECT 'bm25', query_id, doc_id, rank FROM bmr UNION ALL SELECT 'vector-gemma', query_id, doc_id, rank FROM ver UNION ALL SELECT 'hybrid', query_id, doc_id, rank FROM fused UNION ALL SELECT 'hybrid-weighted', query_id, doc_id, rank FROM weighted),
+    asked AS (SELECT unnest({_LIVE}) AS engine, id AS query_id FROM truth),
+    per AS (SELECT a.engine, a.query_id, {_HIT}, round(coalesce(1.0 / min(CASE WHEN q.doc_id IS NOT NULL THEN r.rank END), 0), 6) AS mrr FROM asked a LEFT JOIN (SELECT * FROM alls WHERE rank <= {K}) r ON r.engine = a.engine AND r.query_id = a.query_id
+        LEFT JOIN qrels q ON q.query_id = r.query_id AND q.doc_id = r.doc_id GROUP BY a.engine, a.query_id)
+    SELECT engine, count(*) AS queries, {', '.join(f'round(avg({c}), 6) AS {c}' for c in ['hit_1', 'hit_3', 'hit_5', 'hit_10', 'mrr'])} FROM per GROUP BY engine""")
 
 
 def live(s, sf):
     """Some engines of each kind over the judged queries, evaluated in one DataFrame."""
     session = SearchSession(docs_of(s, sf))
     session.corpus = corpus(s, sf)
-    return session.benchmark(queries_of(s, sf), src.qrels(truth_of(s, sf)), ["keyword", "bm25", "vector-gemma", "hybrid", "hybrid-weighted"])
+    return session.benchmark(queries_of(s, sf), src.qrels(truth_of(s, sf)), _LIVE)
 
 
 # What each engine tells of a result.

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import sys
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,7 +59,9 @@ def shared_dir(spark: SparkSession) -> str:
     if current is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="qirtas-"))
+        folder = tempfile.mkdtemp(prefix="qirtas-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(folder)
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
 
@@ -66,7 +71,22 @@ _written: dict[str, list[str]] = {}
 
 def drop_materialised(spark: SparkSession) -> int:
     """Delete what this session wrote by `materialise`; DataFrames that read it can't be used any more."""
-    paths = _written.pop(spark.sparkContext.applicationId, [])
+    return _drop(spark, _written.pop(spark.sparkContext.applicationId, []))
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Delete at the end what was written by `materialise` inside; results must have been read or written by then."""
+    before = len(_written.setdefault(spark.sparkContext.applicationId, []))
+    try:
+        yield
+    finally:
+        paths = _written.get(spark.sparkContext.applicationId, [])
+        _drop(spark, paths[before:])
+        del paths[before:]
+
+
+def _drop(spark: SparkSession, paths: list[str]) -> int:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     for path in paths:
         folder = hadoop.Path(path)

@@ -4,8 +4,8 @@ from qirtas.session import get_spark
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = get_spark(master="local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"})
+def spark(tmp_path_factory):
+    session = get_spark(master="local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g", "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

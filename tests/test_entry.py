@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
-SAMPLE = "ground_truth tokens snippet_keyword term_idf bm25_topk keyword_topk cosine_topk hybrid_rrf hybrid_cascade hybrid_cosine_combined rerank_indexed_backfill metrics_per_query precision_ndcg engine_mrr_pivot refresh_age upsert_failed candidate_queries term_coverage chat_to_qfs qfs_template".split()
+SAMPLE = "ground_truth tokens snippet_keyword term_idf bm25_topk keyword_topk cosine_topk hybrid_rrf hybrid_cascade hybrid_cosine_combined rerank_indexed_backfill metrics_per_query precision_ndcg engine_mrr_pivot refresh_age upsert_failed candidate_queries term_coverage phrase_search crawl_run crawl_totals parsed_answers negative_samples engine_metadata live_benchmark chat_to_qfs qfs_template".split()
 
 
 def plain(v):

@@ -227,3 +227,15 @@ def test_failing_checks_stop_a_crawl(spark):
         assert run.documents is None and run.counters == cr.NOTHING and run.failed == [f"site preflight: {why}"]
     assert cr.site_test("t", lambda: 1 / 0) == ("t", False, "Exception: division by zero")
     assert cr.ListBot("list", spark.createDataFrame([("a",)], "url string")).check() == (True, "list lists addresses")
+
+
+def test_scratch_tables_are_deleted(spark, docs):
+    from qirtas.session import materialise, scratch
+
+    kept = materialise(docs, "kept")
+    with scratch(spark):
+        gone = materialise(docs, "gone")
+        assert gone.count() == 4
+    assert kept.count() == 4
+    with pytest.raises(Exception, match="(?i)not.*exist|not.*found"):
+        gone.count()
