@@ -13,6 +13,7 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_right
+from functools import lru_cache
 
 import numpy as np
 import xxhash
@@ -47,8 +48,9 @@ _MARKED = re.compile(r"\s*(?:[•‣▪◦*+\-#:;>|]|\d+[.)]|<|\\|\{|=|```)")
 _TITLE = re.compile(r"<title[^>]*>(.*?)</title>", re.S | re.I)
 
 
+@lru_cache(1 << 14)
 def letters_of(text: str) -> str:
-    """The letters of a line in order, in one consistent form and without case."""
+    """The letters of a line in order, in one consistent form and without case; a page's markup and text ask for the same lines."""
     return _LETTERS.sub("", clean_line(text).lower())
 
 
