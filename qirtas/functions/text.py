@@ -53,7 +53,7 @@ def tokenize(text: Column, script: str = "arabic", remove_stop_words: bool = Fal
 
 def split_simple(text: Column) -> Column:
     """Array of the lower-case words between white space."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\s+"), lambda t: t != "")
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\s\x{0B}\x{85}\p{Z}]+"), lambda t: t != "")
 
 
 def occurrences(text: Column, word: Column) -> Column:

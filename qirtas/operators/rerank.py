@@ -48,7 +48,9 @@ def with_text(pool: DataFrame, queries: DataFrame, texts: DataFrame, limit: int,
     """The candidates with the query and up to `limit` characters of their text; a missing text is ''."""
     raw = F.coalesce("content", F.lit(""))
     raw = strip(raw) if stripped else raw
-    joined = pool.join(texts.select(F.col("id").alias("doc_id"), "content"), "doc_id", "left").join(queries.select("query_id", "query"), "query_id")
+    # A pool has few and small rows, which would all be scored in one task; the work on its texts is what counts.
+    spread = pool.repartition(pool.sparkSession.sparkContext.defaultParallelism, "doc_id")
+    joined = spread.join(texts.select(F.col("id").alias("doc_id"), "content"), "doc_id", "left").join(queries.select("query_id", "query"), "query_id")
     return joined.select(*pool.columns, "query", F.substring(raw, 1, limit).alias("text"), (F.length(raw) > limit).alias("truncated"))
 
 

@@ -34,7 +34,7 @@ def chunks_with(words: DataFrame, index: Index) -> DataFrame:
     """
     _, grams = index.chunks()
     asked = words.where("word <> ''").select("word").distinct().withColumn("gram", F.substring("word", 1, GRAM))
-    held = grams.join(asked, "gram").where(F.contains("chunk", F.col("word")))
+    held = grams.join(asked, "gram").where(F.contains("chunk", F.col("word"))).select("word", "chunk").distinct()
     # Written, so that its size is known when it meets the chunks of all documents.
     return materialise(held.select("word", "chunk", occurrences(F.col("chunk"), F.col("word")).alias("n")), "word-chunks")
 
