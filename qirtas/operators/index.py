@@ -27,13 +27,19 @@ class Index:
     def chunks(self) -> tuple[DataFrame, DataFrame]:
         """(doc_id, chunk, tf) and (gram, chunk): what stands between white space in the lower-case texts, and the substrings of
         one to GRAM characters of each different chunk. Written at the first substring search."""
-        if not self._kept:
+        if "chunks" not in self._kept:
             words = self.documents.select(F.col("id").alias("doc_id"), F.explode(split_simple(F.col("content"))).alias("chunk"))
             held = materialise(words.groupBy("doc_id", "chunk").agg(F.count("*").alias("tf")), "chunks")
             self._kept["chunks"] = held
             self._kept["grams"] = materialise(held.select("chunk").distinct().select(F.explode(grams(F.col("chunk"))).alias("gram"), "chunk"), "chunk-grams")
         return self._kept["chunks"], self._kept["grams"]
 
+    def n_bytes(self) -> int:
+        """Bytes of all texts, added up at the first call."""
+        if "bytes" not in self._kept:
+            self._kept["bytes"] = self.documents.agg(F.sum(F.octet_length("content"))).first()[0] or 0
+        return self._kept["bytes"]
+
 
 #: Characters of the substrings by which chunks are found.
 GRAM = 3

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.substrings import top_k_counts
 from ..functions.text import occurrences, split_simple, tokenize
 from ..functions.vectors import top_k_cosine
 from ..session import materialise
@@ -39,15 +40,14 @@ def chunks_with(words: DataFrame, index: Index) -> DataFrame:
     return materialise(held.select("word", "chunk", occurrences(F.col("chunk"), F.col("word")).alias("n")), "word-chunks")
 
 
-def keyword_scores(queries: DataFrame, index: Index) -> DataFrame:
+def keyword_scores(queries: DataFrame, index: Index, k: int | None = None) -> DataFrame:
     """Occurrences of each word of (query_id, query) as substrings of the lower-case text; words count as often as repeated.
 
-    A word has no white space, so it occurs in a text as often as in the chunks between the text's white space.
+    With `k` only what can be among the k best of a query comes out.
     """
-    words = queries.select("query_id", F.explode(split_simple(F.col("query"))).alias("word")).groupBy("query_id", "word").agg(F.count("*").alias("times"))
-    worth = chunks_with(words, index).join(words, "word").groupBy("query_id", "chunk").agg(F.sum(F.col("n") * F.col("times")).alias("worth"))
-    score = F.sum(F.col("tf") * F.col("worth")).cast("double")
-    return index.chunks()[0].join(worth, "chunk").groupBy("query_id", "doc_id").agg(score.alias("score")).where("score > 0")
+    words = queries.select("query_id", F.explode(split_simple(F.col("query"))).alias("word"))
+    texts = index.documents.select(F.col("id").alias("doc_id"), F.lower("content").alias("text"))
+    return top_k_counts(words, texts, index.n_bytes(), k)
 
 
 def bm25_scores(queries: DataFrame, index: Index, k1: float = 1.5, b: float = 0.75, script: str = "arabic") -> DataFrame:

@@ -56,7 +56,7 @@ class Keyword(Engine):
     name: str = "keyword"
 
     def search(self, queries, corpus, k=10):
-        return tagged(rt.ranked(rt.keyword_scores(queries, corpus.index), k), self.name, keyword_count=F.col("score"))
+        return tagged(rt.ranked(rt.keyword_scores(queries, corpus.index, k), k), self.name, keyword_count=F.col("score"))
 
 
 @dataclass(frozen=True)

@@ -97,6 +97,54 @@ def test_keyword_counts_substrings(asked, corpus):
     assert found == {(1, 1): 3.0, (1, 3): 1.0, (4, 1): 4.0, (4, 3): 2.0}
 
 
+@pytest.mark.parametrize("block, n_bytes", [(4096, 16 << 20), (2, 64)])
+def test_keyword_search_in_a_grid(spark, monkeypatch, block, n_bytes):
+    from qirtas.functions import substrings as su
+
+    monkeypatch.setattr(su, "QUERY_BLOCK", block)
+    monkeypatch.setattr(su, "TEXT_BLOCK", n_bytes)
+    rng = random.Random(3)
+    texts = [(rng.randrange(40), "".join(rng.choices("aAbé \u00a0\n\x1c\u2003", k=rng.randrange(60)))) for _ in range(60)] + [(None, "ab"), (50, None), (51, " "), (52, "\U0001f600a" * 9)]
+    asked = [(q, "".join(rng.choices("abÉ \x1c\u2003", k=6))) for q in range(9)] + [(None, "A"), (20, ""), (21, None), (22, "\U0001f600"), (3, "a a ab")]
+    index = ix.build_index(spark.createDataFrame([(d, "u", t, "success") for d, t in texts], "id bigint, url string, content_text string, crawl_status string"))
+    queries = spark.createDataFrame(asked, "query_id bigint, query string")
+    want = Counter()
+    for q, query in asked:
+        for d, text in texts:
+            for word in (query or "").lower().replace("\u2003", " ").split(" "):
+                want[q, d] += (text or "").lower().count(word) if word else 0
+    want = {at: float(n) for at, n in want.items() if n}
+    assert {tuple(r)[:2]: r["score"] for r in rt.keyword_scores(queries, index).collect()} == want
+    best = {(r["query_id"], r["doc_id"], r["rank"]) for r in create("keyword").search(queries, Corpus(index), 3).collect()}
+    order = sorted(want, key=lambda at: (at[0] is not None, at[0] or 0, -want[at], at[1] is not None, at[1] or 0))
+    place = Counter()
+    for q, _ in order:
+        place[q] += 1
+    assert len(best) == sum(min(3, n) for n in place.values())
+    assert best == {(q, d, i) for x in place for i, (q, d) in enumerate((at for at in order if at[0] == x), 1) if i <= 3}
+    assert rt.keyword_scores(queries.limit(0), index, 3).collect() == [] == rt.keyword_scores(queries, ix.build_index(spark.createDataFrame([], "id bigint, url string, content_text string, crawl_status string")), 3).collect()
+
+
+def test_keyword_search_writes_no_text_for_each_of_its_substrings(spark, monkeypatch):
+    """A text without white space has as many substrings of three characters as characters."""
+    text = "".join(chr(0x4E00 + i) for i in range(2000))
+    index = ix.build_index(spark.createDataFrame([(1, "u", text, "success")], "id bigint, url string, content_text string, crawl_status string"))
+    written = []
+
+    def kept(df, tag):
+        from qirtas.session import materialise
+
+        written.append(materialise(df, tag))
+        return written[-1]
+
+    monkeypatch.setattr(ix, "materialise", kept)
+    monkeypatch.setattr(rt, "materialise", kept)
+    queries = spark.createDataFrame([(1, text[7:9])], "query_id bigint, query string")
+    assert [tuple(r)[:4] for r in create("keyword").search(queries, Corpus(index)).collect()] == [(1, 1, 1.0, 1)]
+    strings = [[F.coalesce(F.sum(F.length(c)), F.lit(0)).alias(c) for c, kind in df.dtypes if kind == "string"] for df in written]
+    assert sum(sum(df.agg(*s).first()) for df, s in zip(written, strings) if s) <= 3 * len(text)
+
+
 def test_vectors(spark, asked, corpus):
     found = [(r["query_id"], r["doc_id"], r["rank"]) for r in create("vector-gemma").search(asked, corpus, 2).orderBy("query_id", "rank").collect()]
     assert found == [(1, 1, 1), (1, 3, 2), (2, 2, 1), (2, 3, 2), (4, 3, 1), (4, 1, 2)]
